@@ -183,11 +183,12 @@ def customer_data(
     # Every line stands for at least one detail row, so the first lines suffice.
     picked = staged(top(lines, limit, *line_order), "picked")
     detail_order = (*line_order, F.asc_nulls_last("inventory_id"), F.asc_nulls_last("transaction_id"))
-    detail = _detail(bounded(picked, limit), customers, orders, items, products, inventory, transactions)
-    shown = top(detail, limit, *detail_order)
+    detail = _detail(bounded(picked, limit), customers, orders, products, inventory, transactions)
+    shown = staged(top(detail, limit, *detail_order), "shown")
     shown = _with_totals(shown, lines, picked, limit)
     shown = _with_ranks(shown, lines, picked, limit)
-    return _derived(shown, as_of).orderBy(*detail_order).drop("created_at")
+    derived = _derived(shown, as_of).orderBy(*detail_order)
+    return derived.drop("created_at", *(c for c in derived.columns if c.endswith(("_of", "_key"))))
 
 
 def _weighed_lines(customers, orders, items, products, inventory, transactions, as_of, months) -> DataFrame:
@@ -202,7 +203,7 @@ def _weighed_lines(customers, orders, items, products, inventory, transactions,
     )
     copies = F.coalesce("attempts", F.lit(1)) * F.coalesce("places", F.lit(1))
     return (
-        items.select("order_item_id", "order_id", "product_id", "quantity", "unit_price", "subtotal")
+        items.select(*_ITEM, "order_id", "product_id")
         .join(placed, "order_id")
         .join(stocked, "product_id")
         .join(customers.select("customer_id", "state"), "customer_id")
@@ -211,10 +212,10 @@ def _weighed_lines(customers, orders, items, products, inventory, transactions,
     )
 
 
-def _detail(picked, customers, orders, items, products, inventory, transactions) -> DataFrame:
+def _detail(picked, customers, orders, products, inventory, transactions) -> DataFrame:
     """Picked lines with every column of their order, buyer, product, stock and payment."""
-    chosen = picked.select("order_item_id", "order_id", "product_id", "customer_id")
-    stock = inventory.select("product_id", *_STOCK).join(chosen.select("product_id"), "product_id", "left_semi")
+    line = picked.select(*_ITEM, "order_id", "product_id", "customer_id")
+    stock = inventory.select("product_id", *_STOCK).join(line.select("product_id"), "product_id", "left_semi")
     payment = transactions.select(
         "order_id",
         "transaction_id",
@@ -223,14 +224,12 @@ def _detail(picked, customers, orders, items, products, inventory, transactions)
         F.col("amount").alias("transaction_amount"),
         F.col("status").alias("transaction_status"),
         "processed_at",
-    ).join(chosen.select("order_id"), "order_id", "left_semi")
+    ).join(line.select("order_id"), "order_id", "left_semi")
     buyer = customers.select(*(c for c in _CUSTOMER if c != "customer_name"), full_name().alias("customer_name"), "created_at")
     order = orders.withColumnRenamed("status", "order_status").select(*_ORDER)
-    line = items.select(*_ITEM)
     product = products.withColumnRenamed("price", "current_price").select(*_PRODUCT)
     return (
-        line.join(chosen, "order_item_id")
-        .join(order, "order_id")
+        line.join(order, "order_id")
         .join(buyer, "customer_id")
         .join(product, "product_id")
         .join(stock, "product_id", "left")
@@ -273,50 +272,48 @@ def _with_totals(shown: DataFrame, lines: DataFrame, picked: DataFrame, limit: i
     )
     shown = shown.join(per_customer, "customer_id")
     for key, totals in (("category", per_category), ("state", per_state), ("manufacturer", per_manufacturer)):
-        shown = _join_null_safe(shown, totals, key)
+        totals = totals.withColumnRenamed(key, f"{key}_of")
+        shown = shown.join(totals, F.col(key).eqNullSafe(F.col(f"{key}_of")), "left")
     return shown
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    right = right.withColumnRenamed(key, "of")
-    return left.join(right, left[key].eqNullSafe(right["of"]), "left").drop("of")
-
-
 def _with_ranks(shown: DataFrame, lines: DataFrame, picked: DataFrame, limit: int) -> DataFrame:
-    newest = newest_first(F.col("order_date"))
-    sequence = newest_first(F.col("order_date"), F.col("order_id"), F.col("order_item_id"))
     weight = F.col("weight")
+    placed = F.col("order_date")
+    by_place = newest_first(placed, F.col("order_id"), F.col("order_item_id"))
     places = {
-        "customer_order_rank": (F.col("customer_id"), newest, weight),
+        "customer_order_rank": (F.col("customer_id"), newest_first(placed), weight),
         "category_revenue_rank": (F.col("category"), descending(F.col("subtotal")), weight),
-        "state_order_sequence": (F.col("state"), sequence, weight),
+        "state_order_sequence": (F.col("state"), by_place, weight),
         "overall_order_value_rank": (F.lit(0), descending(F.col("total_amount")), F.lit(1).cast("long")),
     }
     for name, (group, key, counted) in places.items():
         rows = lines.select(group.alias("group"), key.alias("key"), counted.alias("weight"))
+        if name == "customer_order_rank":
+            buyers = bounded(picked.select("customer_id").distinct(), limit)
+            rows = rows.join(buyers, F.col("group") == F.col("customer_id"), "left_semi")
         if name == "overall_order_value_rank":  # dense: each value counts once
             rows = rows.distinct()
-        ahead = rows_ahead(rows, picked.select(group.alias("group"), key.alias("key")), limit)
-        ahead = bounded(ahead.select(F.col("group").alias("of"), "key", (F.col("ahead") + 1).alias(name)), limit)
-        shown = (
-            shown.withColumn("place", key)
-            .join(ahead, group.eqNullSafe(F.col("of")) & (F.col("place") == F.col("key")), "left")
-            .drop("of", "key", "place")
+        ahead = rows_ahead(rows, picked.select(group.alias("group"), key.alias("key")), limit).select(
+            F.col("group").alias(f"{name}_of"), F.col("key").alias(f"{name}_key"), (F.col("ahead") + 1).alias(name)
         )
-    # Detail rows of one line follow each other, so the position within the line
-    # can be taken after the cut.
-    within = Window.partitionBy("order_item_id").orderBy(
-        F.asc_nulls_last("inventory_id"), F.asc_nulls_last("transaction_id")
-    )
-    return shown.withColumn("state_order_sequence", F.col("state_order_sequence") + F.row_number().over(within) - 1)
+        same = group.eqNullSafe(F.col(f"{name}_of")) & (key == F.col(f"{name}_key"))
+        shown = shown.join(bounded(ahead, limit), same, "left")
+    return shown
 
 
 def _derived(shown: DataFrame, as_of: datetime) -> DataFrame:
     total, stock, reorder = F.col("total_amount"), F.col("quantity_available"), F.col("reorder_level")
     placed = F.col("order_date")
     profit = F.col("subtotal") - weighted(F.col("cost"), F.col("quantity"))
+    # Detail rows of one line follow each other, so the position within the line
+    # can be taken after the cut.
+    within = Window.partitionBy("order_item_id").orderBy(
+        F.asc_nulls_last("inventory_id"), F.asc_nulls_last("transaction_id")
+    )
     return shown.withColumns(
         {
+            "state_order_sequence": F.col("state_order_sequence") + F.row_number().over(within) - 1,
             "months_since_order": rounded(months_since(as_of, placed), 2),
             "customer_age_months": rounded(months_since(as_of, F.col("created_at")), 2),
             "order_value_category": F.when(total > 1000, "High Value")

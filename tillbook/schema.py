@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _DDL = {
@@ -97,12 +96,13 @@ DEAD = ("CANCELLED", "PAYMENT_FAILED")
 def conform(df: DataFrame, name: str, **defaults: Column) -> DataFrame:
     """Give ``df`` the column order and types of a table; absent columns take a
     default from ``defaults`` or NULL."""
+    extra = {column: value for column, value in defaults.items() if column not in df.columns}
+    if extra:
+        df = df.withColumns(extra)
     present = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *(
-            (F.col(f.name) if f.name in present else defaults.get(f.name, F.lit(None)))
-            .cast(f.dataType)
-            .alias(f.name)
+            f"cast({f.name if f.name in present else 'null'} as {f.dataType.simpleString()}) as {f.name}"
             for f in table_schema(name).fields
         )
     )

@@ -9,12 +9,11 @@ in the plan.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.functions.dates import midnight, stamp
+from tillbook.functions.dates import midnight
 from tillbook.schema import conform
 
 AS_OF = datetime(2001, 7, 31, 12)
@@ -27,16 +26,20 @@ GATEWAYS = ("Stripe", "PayPal", "Square", "Authorize.Net", "Braintree")
 UNKNOWN_PRODUCT_OFFSET = 1_000_000_000
 
 
-def _pick(values: tuple[str, ...], key: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+def _one_of(values: tuple[str, ...], key: str) -> str:
+    """SQL for the value at ``key`` modulo their number."""
+    listed = ", ".join(f"'{value}'" for value in values)
+    return f"element_at(array({listed}), cast({key} % {len(values)} + 1 as int))"
 
 
-def _text(prefix: str, key: Column) -> Column:
-    return F.concat(F.lit(prefix), key.cast("string"))
-
-
-def _cents(cents: Column, kind: str) -> Column:
-    return (cents.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast(kind)
+_METHOD = _one_of(PAYMENT_METHODS, "o_orderkey")
+_PLACED = "cast(o_orderdate as timestamp) + make_dt_interval(0, 0, 0, cast(o_orderkey * 7919 % 86400 as decimal(18,6)))"
+_TOTAL = "if(o_orderkey % 50 = 3, null, cast(o_totalprice as decimal(12,2)))"
+_STATUS = f"""case o_orderstatus
+    when 'F' then {_one_of(("COMPLETED", "SHIPPED", "DELIVERED"), "o_orderkey")}
+    when 'O' then {_one_of(("PENDING", "PROCESSING"), "o_orderkey")}
+    else {_one_of(("CANCELLED", "PAYMENT_FAILED", "COMPLETED", "COMPLETED"), "o_orderkey")} end"""
+_SESSION_ID = "concat(user_id, '-', date_format(ts, 'yyyyMMdd'))"
 
 
 class Testbed:
@@ -54,52 +57,50 @@ class Testbed:
     # -- operational tables -------------------------------------------------
 
     def customers(self) -> DataFrame:
-        k = F.col("c_custkey")
-        rows = self.raw("customer").select(
-            k.alias("customer_id"),
-            _text("FirstName", k).alias("first_name"),
-            _text("LastName", k).alias("last_name"),
-            F.concat(_text("customer", k), F.lit("@example.com")).alias("email"),
-            F.concat(F.lit("555-"), F.lpad(k.cast("string"), 7, "0")).alias("phone"),
-            _text("City", k % 50).alias("city"),
-            _text("State", k % 50).alias("state"),
-            (k % 1000).cast("string").alias("zip_code"),
-            F.lit("USA").alias("country"),
-            (stamp(datetime(2001, 7, 31, 6)) - F.make_dt_interval((k % 2405).cast("int"))).alias("created_at"),
-            ((k * 100) % 10000).alias("loyalty_points"),
-            F.when(k % 10 == 0, "PREMIUM").otherwise("REGULAR").alias("customer_type"),
+        joined = "timestamp'2001-07-31 06:00:00' - make_dt_interval(cast(c_custkey % 2405 as int))"
+        rows = self.raw("customer").selectExpr(
+            "c_custkey as customer_id",
+            "concat('FirstName', c_custkey) as first_name",
+            "concat('LastName', c_custkey) as last_name",
+            "concat('customer', c_custkey, '@example.com') as email",
+            "concat('555-', lpad(c_custkey, 7, '0')) as phone",
+            "concat('City', c_custkey % 50) as city",
+            "concat('State', c_custkey % 50) as state",
+            "c_custkey % 1000 as zip_code",
+            "'USA' as country",
+            f"{joined} as created_at",
+            f"{joined} as updated_at",
+            "c_custkey * 100 % 10000 as loyalty_points",
+            "if(c_custkey % 10 = 0, 'PREMIUM', 'REGULAR') as customer_type",
         )
-        return conform(rows, "customers", updated_at=F.col("created_at"))
+        return conform(rows, "customers")
 
     def products(self) -> DataFrame:
-        k = F.col("p_partkey")
-        price = F.col("p_retailprice").cast("decimal(10,2)")
-        rows = self.raw("part").select(
-            k.alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("subcategory"),
-            price.alias("price"),
-            F.round(price * F.lit(Decimal("0.5")), 2).alias("cost"),
-            _text("Manufacturer#", k % 5).alias("manufacturer"),
-            F.concat(F.lit("SKU-"), F.lpad(k.cast("string"), 8, "0")).alias("sku"),
-            F.when(k % 25 == 0, 0).otherwise(1).alias("is_active"),
+        rows = self.raw("part").selectExpr(
+            "p_partkey as product_id",
+            "p_name as product_name",
+            "p_type as category",
+            "p_brand as subcategory",
+            "cast(p_retailprice as decimal(10,2)) as price",
+            "round(cast(p_retailprice as decimal(10,2)) * 0.5, 2) as cost",
+            "concat('Manufacturer#', p_partkey % 5) as manufacturer",
+            "concat('SKU-', lpad(p_partkey, 8, '0')) as sku",
+            "if(p_partkey % 25 = 0, 0, 1) as is_active",
         )
         return conform(rows, "products")
 
     def inventory(self) -> DataFrame:
-        k, w = F.col("p_partkey"), F.col("w")
-        places = F.when(k % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        """One stock row per product, two for every third."""
         rows = (
             self.raw("part")
-            .select(k, F.explode(places).alias("w"))
-            .select(
-                (k * 2 + w).alias("inventory_id"),
-                k.alias("product_id"),
-                _text("WH-", (k + w) % 5).alias("warehouse_location"),
-                F.when(k % 7 == 0, k % 120).otherwise(1000 + (k * 137) % 5000).alias("quantity_available"),
-                ((k * 3) % 50).alias("quantity_reserved"),
-                F.lit(100).alias("reorder_level"),
+            .selectExpr("p_partkey as k", "explode(if(p_partkey % 3 = 0, array(0, 1), array(0))) as w")
+            .selectExpr(
+                "k * 2 + w as inventory_id",
+                "k as product_id",
+                "concat('WH-', (k + w) % 5) as warehouse_location",
+                "if(k % 7 = 0, k % 120, 1000 + k * 137 % 5000) as quantity_available",
+                "k * 3 % 50 as quantity_reserved",
+                "100 as reorder_level",
             )
         )
         return conform(rows, "inventory")
@@ -112,8 +113,7 @@ class Testbed:
         return self._as_orders(self._stream("orders", files_per_batch), None)
 
     def event_stream(self, files_per_batch: int = 1) -> DataFrame:
-        events = self._stream("events", files_per_batch)
-        return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+        return self._stream("events", files_per_batch).selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts")
 
     def _stream(self, name: str, files_per_batch: int) -> DataFrame:
         return (
@@ -124,118 +124,98 @@ class Testbed:
         )
 
     def _as_orders(self, raw: DataFrame, since: datetime | None) -> DataFrame:
-        raw = raw.filter(F.col("o_custkey") % 50 != 7)
+        raw = raw.filter("o_custkey % 50 != 7")
         if since is not None:
             early = midnight(since - timedelta(days=1))
-            raw = raw.filter(F.col("o_orderdate") >= F.lit(early.isoformat(sep=" ")).cast("timestamp_ntz"))
-        k = F.col("o_orderkey")
-        placed = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(0), ((k * 7919) % 86400).cast("decimal(18,6)")
-        )
-        total = F.when(k % 50 != 3, F.col("o_totalprice").cast("decimal(12,2)"))
-        done = F.element_at(F.array(*map(F.lit, ("COMPLETED", "SHIPPED", "DELIVERED"))), (k % 3 + 1).cast("int"))
-        waiting = F.when(k % 2 == 0, "PENDING").otherwise("PROCESSING")
-        mixed = F.when(k % 4 == 0, "CANCELLED").when(k % 4 == 1, "PAYMENT_FAILED").otherwise("COMPLETED")
-        flag = F.col("o_orderstatus")
-        rows = raw.select(
-            k.alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            placed.alias("order_date"),
-            F.when(flag == "F", done).when(flag == "O", waiting).otherwise(mixed).alias("status"),
-            total.alias("total_amount"),
-            F.round(total * F.lit(Decimal("0.08")), 2).alias("tax_amount"),
-            F.when(k % 4 != 0, _cents(k % 2000, "decimal(8,2)")).alias("shipping_cost"),
-            _pick(PAYMENT_METHODS, k).alias("payment_method"),
+            raw = raw.filter(f"o_orderdate >= timestamp_ntz'{early.isoformat(sep=' ')}'")
+        rows = raw.selectExpr(
+            "o_orderkey as order_id",
+            "o_custkey as customer_id",
+            f"{_PLACED} as order_date",
+            f"{_STATUS} as status",
+            f"{_TOTAL} as total_amount",
+            f"round({_TOTAL} * 0.08, 2) as tax_amount",
+            "if(o_orderkey % 4 = 0, null, cast(o_orderkey % 2000 as decimal(8,0)) * 0.01) as shipping_cost",
+            f"{_METHOD} as payment_method",
+            f"{_PLACED} as created_at",
+            f"{_PLACED} as updated_at",
         )
-        return conform(rows, "orders", created_at=F.col("order_date"), updated_at=F.col("order_date"))
+        return conform(rows, "orders")
 
     def order_items(self, any_order: bool = False) -> DataFrame:
         """Lines of kept orders. ``any_order`` leaves out the check against the
         orders, for plans that join the orders themselves."""
-        lines = self.raw("lineitem").filter(F.col("l_partkey") % 40 != 1)
+        lines = self.raw("lineitem").filter("l_partkey % 40 != 1")
         if not any_order:
-            dropped = self.raw("orders").filter(F.col("o_custkey") % 50 == 7).select("o_orderkey")
-            lines = lines.join(dropped, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
-        quantity = F.col("l_quantity").cast("long")
-        subtotal = F.col("l_extendedprice").cast("decimal(12,2)")
-        cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+            dropped = self.raw("orders").filter("o_custkey % 50 = 7").selectExpr("o_orderkey as l_orderkey")
+            lines = lines.join(dropped, "l_orderkey", "left_anti")
         # The id leaves room for 999 lines an order, which bounds this window;
         # Catalyst drops it from every plan that does not read the id.
-        within = Window.partitionBy("l_orderkey").orderBy(
-            "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
-            "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
-        )
-        rows = lines.withColumn("line", F.row_number().over(within)).select(
-            (F.col("l_orderkey") * 1000 + F.col("line")).alias("order_item_id"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            quantity.alias("quantity"),
-            _cents(F.floor((cents * 2 + quantity) / (quantity * 2)), "decimal(10,2)").alias("unit_price"),
-            F.round(subtotal * F.col("l_discount").cast("decimal(4,2)"), 2).alias("discount"),
-            subtotal.alias("subtotal"),
+        line = """row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber,
+            l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"""
+        cents, units = "cast(round(l_extendedprice * 100) as bigint)", "cast(l_quantity as bigint)"
+        subtotal = "cast(l_extendedprice as decimal(12,2))"
+        rows = lines.selectExpr(
+            f"l_orderkey * 1000 + {line} as order_item_id",
+            "l_orderkey as order_id",
+            "l_partkey as product_id",
+            f"{units} as quantity",
+            f"cast((2 * {cents} + {units}) div (2 * {units}) as decimal(18,0)) * 0.01 as unit_price",
+            f"round({subtotal} * cast(l_discount as decimal(4,2)), 2) as discount",
+            f"{subtotal} as subtotal",
         )
         return conform(rows, "order_items")
 
     def transactions(self, since: datetime | None = None) -> DataFrame:
         """A payment for most orders and a refund for some, both from one scan."""
-        k, kind = F.col("order_id"), F.col("kind")
-        kinds = F.filter(
-            F.array(F.when(k % 10 != 9, 0), F.when(k % 17 == 0, 1)), lambda slot: slot.isNotNull()
-        )
         started = since - timedelta(days=2) if since is not None else None
-        payment = kind == 0
+        kinds = "array_compact(array(if(order_id % 10 = 9, null, 0), if(order_id % 17 = 0, 1, null)))"
+        payment = "kind = 0"
         rows = (
             self.orders(started)
-            .select("order_id", "order_date", "total_amount", F.explode(kinds).alias("kind"))
-            .select(
-                (k * 2 + kind).alias("transaction_id"),
-                k,
-                F.when(payment, "PAYMENT").otherwise("REFUND").alias("transaction_type"),
-                F.when(payment, F.col("total_amount")).otherwise(-F.col("total_amount")).alias("amount"),
-                F.lit("USD").alias("currency"),
-                _pick(GATEWAYS, k).alias("payment_gateway"),
-                F.when(payment & (k % 20 == 0), "FAILED")
-                .when(payment & (k % 7 == 0), "PENDING")
-                .otherwise("COMPLETED")
-                .alias("status"),
-                (
-                    F.col("order_date")
-                    + F.when(payment, F.expr("INTERVAL '1' HOUR")).otherwise(F.expr("INTERVAL '48' HOUR"))
-                ).alias("processed_at"),
+            .selectExpr("order_id", "order_date", "total_amount", f"explode({kinds}) as kind")
+            .selectExpr(
+                "order_id * 2 + kind as transaction_id",
+                "order_id",
+                f"if({payment}, 'PAYMENT', 'REFUND') as transaction_type",
+                f"if({payment}, total_amount, -total_amount) as amount",
+                "'USD' as currency",
+                f"{_one_of(GATEWAYS, 'order_id')} as payment_gateway",
+                f"case when {payment} and order_id % 20 = 0 then 'FAILED' "
+                f"when {payment} and order_id % 7 = 0 then 'PENDING' else 'COMPLETED' end as status",
+                f"order_date + if({payment}, interval '1' hour, interval '48' hour) as processed_at",
             )
         )
         return conform(rows, "transactions")
 
     def session_data(self) -> DataFrame:
         """One session per user and calendar day of events."""
-        day = F.to_date("ts")
         daily = (
             self.raw("events")
-            .select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-            .groupBy("user_id", day.alias("day"))
+            .groupBy("user_id", F.to_date("ts").alias("day"))
             .agg(
                 F.min("ts").alias("login_time"),
                 F.max("ts").alias("last_activity"),
                 F.bool_or(F.col("event_type") == "error").alias("failed"),
             )
         )
-        rows = daily.select(
-            F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("day", "yyyyMMdd")).alias("session_id"),
-            F.col("user_id").alias("customer_id"),
+        rows = daily.selectExpr(
+            "concat(user_id, '-', date_format(day, 'yyyyMMdd')) as session_id",
+            "user_id as customer_id",
             "login_time",
             "last_activity",
-            F.when((F.col("user_id") % 5 == 0) & F.col("failed"), 0).otherwise(1).alias("is_active"),
+            "if(user_id % 5 = 0 and failed, 0, 1) as is_active",
         )
         return conform(rows, "session_data")
 
     def audit_log(self) -> DataFrame:
-        rows = self.orders().select(
-            F.col("order_id").alias("audit_id"),
-            F.lit("ORDERS").alias("table_name"),
-            F.lit("INSERT").alias("operation"),
-            F.col("order_id").alias("record_id"),
-            F.lit("SYSTEM").alias("changed_by"),
-            F.col("order_date").alias("changed_at"),
+        rows = self.orders().selectExpr(
+            "order_id as audit_id",
+            "'ORDERS' as table_name",
+            "'INSERT' as operation",
+            "order_id as record_id",
+            "'SYSTEM' as changed_by",
+            "order_date as changed_at",
         )
         return conform(rows, "audit_log")
 
@@ -245,158 +225,142 @@ class Testbed:
         """Zeroed rows for the days from ten to three days before ``AS_OF`` that
         have orders."""
         first, last = AS_OF.date() - timedelta(days=10), AS_OF.date() - timedelta(days=3)
-        day = F.to_date("order_date")
         days = (
             self.orders(since=midnight(AS_OF) - timedelta(days=10))
-            .filter(day.between(F.lit(first), F.lit(last)))
-            .select(day.alias("summary_date"))
+            .selectExpr("to_date(order_date) as summary_date")
+            .filter(f"summary_date between date'{first}' and date'{last}'")
             .distinct()
         )
-        rows = days.select(
-            F.datediff("summary_date", F.lit(first)).alias("summary_id"),
+        rows = days.selectExpr(
+            f"datediff(summary_date, date'{first}') as summary_id",
             "summary_date",
-            *(F.lit(0).alias(c) for c in ("total_orders", "total_revenue", "total_customers", "avg_order_value")),
-            F.col("summary_date").cast("timestamp").alias("created_at"),
+            "0 as total_orders",
+            "0 as total_revenue",
+            "0 as total_customers",
+            "0 as avg_order_value",
+            "cast(summary_date as timestamp) as created_at",
         )
         return conform(rows, "sales_summary")
 
     def customer_analytics(self) -> DataFrame:
         rows = (
             self.customers()
-            .filter(F.col("customer_id") % 2 == 0)
-            .select(
-                (F.col("customer_id") + 1).alias("analytics_id"),
+            .filter("customer_id % 2 = 0")
+            .selectExpr(
+                "customer_id + 1 as analytics_id",
                 "customer_id",
-                *(F.lit(0).alias(c) for c in ("total_orders", "total_spent", "avg_order_value")),
-                F.lit("New").alias("customer_segment"),
-                F.col("created_at").alias("calculated_at"),
+                "0 as total_orders",
+                "0 as total_spent",
+                "0 as avg_order_value",
+                "'New' as customer_segment",
+                "created_at as calculated_at",
             )
         )
         return conform(rows, "customer_analytics")
 
     def product_performance(self) -> DataFrame:
-        k = F.col("product_id")
-        july, june = (F.lit(f"2001-{month}-01").cast("date") for month in ("07", "06"))
-        starts = F.filter(F.array(F.when(k % 3 == 0, july), F.when(k % 5 == 0, june)), lambda s: s.isNotNull())
+        """July rows for every third product, June rows for every fifth."""
+        starts = """array_compact(array(if(product_id % 3 = 0, date'2001-07-01', null),
+                                        if(product_id % 5 = 0, date'2001-06-01', null)))"""
         rows = (
             self.products()
-            .select(k, F.explode(starts).alias("period_start"))
-            .select(
-                (k * 2 + F.when(F.month("period_start") == 6, 1).otherwise(0)).alias("performance_id"),
-                k,
+            .selectExpr("product_id", f"explode({starts}) as period_start")
+            .selectExpr(
+                "product_id * 2 + if(month(period_start) = 6, 1, 0) as performance_id",
+                "product_id",
                 "period_start",
-                F.last_day("period_start").alias("period_end"),
-                *(F.lit(0).alias(c) for c in ("units_sold", "revenue", "profit", "return_count")),
-                F.col("period_start").cast("timestamp").alias("calculated_at"),
+                "last_day(period_start) as period_end",
+                "0 as units_sold",
+                "0 as revenue",
+                "0 as profit",
+                "0 as return_count",
+                "cast(period_start as timestamp) as calculated_at",
             )
         )
         return conform(rows, "product_performance")
 
     def product_recommendation(self) -> DataFrame:
-        rows = (
-            self.products()
-            .filter(F.col("product_id") % 3 == 0)
-            .select(
-                "product_id",
-                F.lit(0).alias("recommendation_score"),
-                stamp(datetime(2001, 7, 1)).alias("last_analyzed"),
-            )
+        rows = self.products().filter("product_id % 3 = 0")
+        return conform(
+            rows.selectExpr(
+                "product_id", "0 as recommendation_score", "timestamp'2001-07-01 00:00:00' as last_analyzed"
+            ),
+            "product_recommendation",
         )
-        return conform(rows, "product_recommendation")
 
     # -- request tables for the write jobs ------------------------------------
 
-    def _requests(self, table: DataFrame, key: str, amount: Column, name: str) -> DataFrame:
+    def _requests(self, table: DataFrame, key: str, amount: str) -> DataFrame:
         """One request for keys divisible by 11, a second one for those divisible by 22."""
-        k = F.col(key)
-        turns = F.when(k % 22 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-        return (
-            table.filter(k % 11 == 0)
-            .select(k, F.explode(turns).alias("turn"))
-            .select(k, amount.alias(name))
-        )
+        turns = f"explode(if({key} % 22 = 0, array(1, 2), array(1))) as turn"
+        return table.filter(f"{key} % 11 = 0").selectExpr(key, turns).selectExpr(key, amount)
 
     def restock_requests(self) -> DataFrame:
-        return self._requests(self.products(), "product_id", F.col("product_id") % 90 + F.col("turn") * 10, "quantity")
+        return self._requests(self.products(), "product_id", "product_id % 90 + turn * 10 as quantity")
 
     def adjustment_requests(self) -> DataFrame:
-        k = F.col("product_id")
-        amount = F.when(k % 33 == 0, k % 200 - 5000).otherwise(k % 100 - 50) + F.col("turn")
-        return self._requests(self.products(), "product_id", amount, "adjustment")
-
-    def reprice_requests(self) -> DataFrame:
-        pct = _cents((F.col("product_id") * 37) % 1000 - 500, "decimal(6,2)")
-        return self.products().filter(F.col("product_id") % 11 == 0).select("product_id", pct.alias("pct"))
+        amount = "if(product_id % 33 = 0, product_id % 200 - 5000, product_id % 100 - 50) + turn as adjustment"
+        return self._requests(self.products(), "product_id", amount)
 
     def point_requests(self) -> DataFrame:
-        return self._requests(self.customers(), "customer_id", F.col("customer_id") % 70 + F.col("turn") * 5, "points")
+        return self._requests(self.customers(), "customer_id", "customer_id % 70 + turn * 5 as points")
+
+    def reprice_requests(self) -> DataFrame:
+        pct = "cast(cast(product_id * 37 % 1000 - 500 as decimal(6,0)) * 0.01 as decimal(6,2)) as pct"
+        return self.product_keys().selectExpr("product_id", pct)
 
     def relocation_requests(self) -> DataFrame:
-        k = F.col("product_id")
-        return self.products().filter(k % 11 == 0).select(k, _text("WH-", (k + 2) % 5).alias("warehouse_location"))
+        return self.product_keys().selectExpr(
+            "product_id", "concat('WH-', (product_id + 2) % 5) as warehouse_location"
+        )
 
     def customer_keys(self) -> DataFrame:
-        return self.customers().filter(F.col("customer_id") % 11 == 0).select("customer_id")
+        return self.customers().filter("customer_id % 11 = 0").select("customer_id")
 
     def product_keys(self) -> DataFrame:
-        return self.products().filter(F.col("product_id") % 11 == 0).select("product_id")
+        return self.products().filter("product_id % 11 = 0").select("product_id")
 
     def order_keys(self) -> DataFrame:
-        return self.orders().filter(F.col("order_id") % 7 == 0).select("order_id")
+        return self.orders().filter("order_id % 7 = 0").select("order_id")
 
     def status_requests(self) -> DataFrame:
-        return self.order_keys().select("order_id", F.lit("SHIPPED").alias("status"))
+        return self.order_keys().selectExpr("order_id", "'SHIPPED' as status")
 
     def payment_outcomes(self) -> DataFrame:
-        return self.order_keys().select("order_id", (F.col("order_id") % 20 != 0).alias("success"))
+        return self.order_keys().selectExpr("order_id", "order_id % 20 != 0 as success")
 
     def payment_requests(self) -> DataFrame:
         """Payments to open: known orders, and as many orders that do not exist."""
         known = self.order_keys()
-        missing = known.select((-F.col("order_id") - 1).alias("order_id"))
-        k = F.abs("order_id")
-        return known.union(missing).select(
-            "order_id", F.lit("PAYMENT").alias("transaction_type"), _pick(GATEWAYS, k).alias("payment_gateway")
+        return known.union(known.selectExpr("-order_id - 1")).selectExpr(
+            "order_id", "'PAYMENT' as transaction_type", f"{_one_of(GATEWAYS, 'abs(order_id)')} as payment_gateway"
         )
 
     def refund_keys(self) -> DataFrame:
-        return self.transactions().filter(F.col("transaction_id") % 7 == 0).select("transaction_id")
+        return self.transactions().filter("transaction_id % 7 = 0").select("transaction_id")
 
     def login_requests(self) -> DataFrame:
-        events = self.raw("events").filter("event_type = 'signup'")
-        return events.select(
-            F.col("event_id").alias("login_id"),
-            F.col("user_id").alias("customer_id"),
-            F.col("ts").cast("timestamp").alias("login_time"),
-        )
+        signups = self.raw("events").filter("event_type = 'signup'")
+        return signups.selectExpr("event_id as login_id", "user_id as customer_id", "cast(ts as timestamp) as login_time")
 
     def session_touches(self) -> DataFrame:
         """A touch 5 minutes after each click, on the day's session."""
-        at = F.col("ts").cast("timestamp")
         clicks = self.raw("events").filter("event_type = 'click'")
-        return clicks.select(
-            F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-            (at + F.expr("INTERVAL '5' MINUTE")).alias("touched_at"),
-        )
+        touched = "cast(ts as timestamp) + interval '5' minute as touched_at"
+        return clicks.selectExpr(f"{_SESSION_ID} as session_id", touched)
 
     def session_keys(self) -> DataFrame:
-        events = self.raw("events").filter("event_type = 'error'")
-        return events.select(
-            F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id")
-        )
+        return self.raw("events").filter("event_type = 'error'").selectExpr(f"{_SESSION_ID} as session_id")
 
     def order_requests(self) -> DataFrame:
         """Order lines to create: those of orders divisible by 100. Line number 7
         asks for a product nobody knows."""
-        k = F.col("l_orderkey")
-        unknown = F.when(F.col("l_linenumber") == 7, UNKNOWN_PRODUCT_OFFSET).otherwise(0)
-        buyers = self.raw("orders").select("o_orderkey", F.col("o_custkey").alias("customer_id"))
-        lines = self.raw("lineitem").filter(k % 100 == 0)
-        return lines.join(buyers, k == F.col("o_orderkey")).select(
-            k.alias("request_id"),
-            "customer_id",
-            _pick(PAYMENT_METHODS, k).alias("payment_method"),
-            F.col("l_linenumber").cast("long").alias("line_no"),
-            (F.col("l_partkey") + unknown).alias("product_id"),
-            F.col("l_quantity").cast("long").alias("quantity"),
+        lines = self.raw("lineitem").filter("l_orderkey % 100 = 0")
+        buyers = self.raw("orders").select("o_orderkey", "o_custkey")
+        return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+            "l_orderkey as request_id",
+            "o_custkey as customer_id",
+            f"{_METHOD} as payment_method",
+            f"l_partkey + if(l_linenumber = 7, {UNKNOWN_PRODUCT_OFFSET}, 0) as product_id",
+            "cast(l_quantity as bigint) as quantity",
         )
