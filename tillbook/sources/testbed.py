@@ -26,6 +26,23 @@ GATEWAYS = ("Stripe", "PayPal", "Square", "Authorize.Net", "Braintree")
 UNKNOWN_PRODUCT_OFFSET = 1_000_000_000
 
 
+# Column types of the files, so that no job has to read their footers first.
+RAW = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _one_of(values: tuple[str, ...], key: str) -> str:
     """SQL for the value at ``key`` modulo their number."""
     listed = ", ".join(f"'{value}'" for value in values)
@@ -52,7 +69,7 @@ class Testbed:
         self.folder = folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
 
     # -- operational tables -------------------------------------------------
 
@@ -117,7 +134,7 @@ class Testbed:
 
     def _stream(self, name: str, files_per_batch: int) -> DataFrame:
         return (
-            self.spark.readStream.schema(self.raw(name).schema)
+            self.spark.readStream.schema(RAW[name])
             .option("maxFilesPerTrigger", files_per_batch)
             .option("pathGlobFilter", f"{name}*.parquet")
             .parquet(self.folder)
