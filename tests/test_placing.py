@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tillbook.operators.placing import descending, newest_first, rows_ahead
+from tillbook.operators.placing import descending, newest_first, rows_ahead, rows_ahead_overall
 
 
 def _table(spark, seed=1, count=400):
@@ -47,8 +47,8 @@ def test_dense_rank_over_everything(spark):
     ranked = df.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc_nulls_first("v"))))
     want = {r["id"]: r["r"] for r in rows(ranked.filter(F.col("id") < limit))}
     key = descending(F.col("v")).alias("key")
-    values = df.select(F.lit(0).alias("group"), key).distinct().withColumn("weight", F.lit(1).cast("long"))
-    places = {r["key"][0]: r["ahead"] + 1 for r in rows(rows_ahead(values, shown.select(F.lit(0).alias("group"), key), limit))}
+    values = df.select(key).distinct().withColumn("weight", F.lit(1).cast("long"))
+    places = {r["key"][0]: r["ahead"] + 1 for r in rows(rows_ahead_overall(values, shown.select(key), limit))}
     assert {r["id"]: places[None if r["v"] is None else -r["v"]] for r in rows(shown)} == want
 
 

@@ -33,22 +33,37 @@ def rows_ahead(rows: DataFrame, shown: DataFrame, limit: int) -> DataFrame:
     """
     marks = shown.groupBy("group").agg(F.array_sort(F.collect_set("key")).alias("marks"))
     marks = bounded(marks.withColumnRenamed("group", "of"), limit)
-    counted = (
-        rows.join(marks, F.col("group").eqNullSafe(F.col("of")))
-        .select("group", "weight", _marks_not_after("marks", "key", limit).alias("slot"), F.size("marks").alias("n"))
+    counted = _counted(rows.join(marks, F.col("group").eqNullSafe(F.col("of"))), limit, "group")
+    slots = marks.select(F.col("of").alias("group"), F.posexplode("marks").alias("slot", "key"))
+    return _running(slots, counted, "group").select("group", "key", "ahead")
+
+
+def rows_ahead_overall(rows: DataFrame, shown: DataFrame, limit: int) -> DataFrame:
+    """:func:`rows_ahead` over one group that holds everything."""
+    marks = shown.agg(F.array_sort(F.collect_set("key")).alias("marks"))
+    counted = _counted(rows.withColumn("marks", marks.scalar()), limit)
+    slots = marks.select(F.posexplode("marks").alias("slot", "key"))
+    return _running(slots, counted).select("key", "ahead")
+
+
+def _counted(rows: DataFrame, limit: int, *group: str) -> DataFrame:
+    """Weight per group and number of marks not after the row's key."""
+    return (
+        rows.select(*group, "weight", _marks_not_after("marks", "key", limit).alias("slot"), F.size("marks").alias("n"))
         .filter(F.col("slot") < F.col("n"))
-        .groupBy("group", "slot")
+        .groupBy(*group, "slot")
         .agg(F.sum("weight").alias("weight"))
     )
-    slots = marks.select(F.col("of").alias("group"), F.posexplode("marks").alias("slot", "key"))
-    running = Window.partitionBy("group").orderBy("slot").rangeBetween(Window.unboundedPreceding, 0)
-    # The window sees at most two rows per mark.
+
+
+def _running(slots: DataFrame, counted: DataFrame, *group: str) -> DataFrame:
+    """Sum of the weights up to each mark; the window sees at most two rows per mark."""
+    window = Window.partitionBy(*group).orderBy("slot").rangeBetween(Window.unboundedPreceding, 0)
     return (
         slots.withColumn("weight", F.lit(0).cast("long"))
         .unionByName(counted, allowMissingColumns=True)
-        .withColumn("ahead", F.sum("weight").over(running))
+        .withColumn("ahead", F.sum("weight").over(window))
         .filter(F.col("key").isNotNull())
-        .select("group", "key", "ahead")
     )
 
 

@@ -120,14 +120,16 @@ def merge_product_performance(
 def upsert_sales_trend(summary: DataFrame, orders: DataFrame, as_of: datetime, days_back: int = 30) -> DataFrame:
     """Write the totals of the whole window to today's row; an existing row keeps
     its customer count and creation time."""
-    mean = F.coalesce(ratio(F.col("total_revenue"), F.col("order_count"), 2), F.lit(0))
-    source = sales_trend(orders, as_of, days_back).select(
-        day_literal(as_of).alias("summary_date"),
-        F.col("order_count").alias("total_orders"),
-        "total_revenue",
-        F.lit(0).alias("total_customers"),
+    mean = F.coalesce(ratio(F.max("total_revenue"), F.max("order_count"), 2), F.lit(0))
+    # The aggregate over the single row keeps the day a column; as a literal it
+    # would turn the merge into a join without a key.
+    source = sales_trend(orders, as_of, days_back).agg(
+        F.max(day_literal(as_of)).alias("summary_date"),
+        F.max("order_count").alias("total_orders"),
+        F.max("total_revenue").alias("total_revenue"),
+        F.max(F.lit(0)).alias("total_customers"),
         mean.alias("avg_order_value"),
-        stamp(as_of).alias("created_at"),
+        F.max(stamp(as_of)).alias("created_at"),
     )
     source = _with_id(source, summary, "summary_id", _day_number(F.col("summary_date")))
     return merged(summary, source, ["summary_date"], ["total_orders", "total_revenue", "avg_order_value"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.dates import days_before, months_since, padded_weekday, shift_months
 from tillbook.functions.numbers import COUNT, known, ratio, rounded, weighted
-from tillbook.operators.placing import descending, newest_first, rows_ahead
+from tillbook.operators.placing import descending, newest_first, rows_ahead, rows_ahead_overall
 from tillbook.operators.shaping import bounded, full_name, since, top
 from tillbook.operators.staging import staged
 
@@ -278,30 +278,34 @@ def _with_totals(shown: DataFrame, lines: DataFrame, picked: DataFrame, limit: i
 
 
 def _with_ranks(shown: DataFrame, lines: DataFrame, picked: DataFrame, limit: int) -> DataFrame:
-    weight = F.col("weight")
     placed = F.col("order_date")
     by_place = newest_first(placed, F.col("order_id"), F.col("order_item_id"))
     places = {
-        "customer_order_rank": (F.col("customer_id"), newest_first(placed), weight),
-        "category_revenue_rank": (F.col("category"), descending(F.col("subtotal")), weight),
-        "state_order_sequence": (F.col("state"), by_place, weight),
-        "overall_order_value_rank": (F.lit(0), descending(F.col("total_amount")), F.lit(1).cast("long")),
+        "customer_order_rank": ("customer_id", newest_first(placed)),
+        "category_revenue_rank": ("category", descending(F.col("subtotal"))),
+        "state_order_sequence": ("state", by_place),
     }
-    for name, (group, key, counted) in places.items():
-        rows = lines.select(group.alias("group"), key.alias("key"), counted.alias("weight"))
-        if name == "customer_order_rank":
-            buyers = bounded(picked.select("customer_id").distinct(), limit)
-            rows = rows.join(buyers, F.col("group") == F.col("customer_id"), "left_semi")
-        if name == "overall_order_value_rank":  # dense: each value counts once
-            rows = rows.distinct()
-        ahead = rows_ahead(rows, picked.select(group.alias("group"), key.alias("key")), limit).select(
-            F.col("group").alias(f"{name}_of"), F.col("key").alias(f"{name}_key"), (F.col("ahead") + 1).alias(name)
-        )
-        same = group.eqNullSafe(F.col(f"{name}_of")) & (key == F.col(f"{name}_key"))
+    for name, (group, key) in places.items():
+        rows = lines
+        if group == "customer_id":
+            rows = lines.join(bounded(picked.select(group).distinct(), limit), group, "left_semi")
+        rows = rows.select(F.col(group).alias("group"), key.alias("key"), "weight")
+        ahead = rows_ahead(rows, picked.select(F.col(group).alias("group"), key.alias("key")), limit)
+        ahead = _as_rank(ahead.withColumnRenamed("group", f"{name}_of"), name)
+        same = F.col(group).eqNullSafe(F.col(f"{name}_of")) & (key == F.col(f"{name}_key"))
         shown = shown.join(bounded(ahead, limit), same, "left")
+    # A dense rank counts each value once.
+    name, key = "overall_order_value_rank", descending(F.col("total_amount"))
+    values = lines.select(key.alias("key")).distinct().withColumn("weight", F.lit(1).cast("long"))
+    ahead = _as_rank(rows_ahead_overall(values, picked.select(key.alias("key")), limit), name)
+    shown = shown.join(bounded(ahead, limit), key == F.col(f"{name}_key"), "left")
     return shown
 
 
+def _as_rank(ahead: DataFrame, name: str) -> DataFrame:
+    return ahead.withColumn(name, F.col("ahead") + 1).withColumnRenamed("key", f"{name}_key").drop("ahead")
+
+
 def _derived(shown: DataFrame, as_of: datetime) -> DataFrame:
     total, stock, reorder = F.col("total_amount"), F.col("quantity_available"), F.col("reorder_level")
     placed = F.col("order_date")
