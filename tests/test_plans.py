@@ -6,7 +6,8 @@ import pytest
 
 from checks.registry import LOOKUPS, REPORTS, UPKEEP
 from conftest import planned
-from tillbook.sources.testbed import Testbed
+from tillbook.plans import sales
+from tillbook.sources.testbed import AS_OF, Testbed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -79,3 +80,37 @@ def test_growth_and_retention_do_without_self_joins(plans):
 
 def test_no_python_in_any_plan(plans):
     assert [name for name, plan in plans.items() if "Python" in plan or "ArrowEval" in plan] == []
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Thresholds that make a few thousand rows a skewed partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def test_hot_order_is_split(spark, small_skew):
+    """One order holds a third of all lines; its join partition is split."""
+    orders = spark.range(3000).selectExpr(
+        "id as order_id", "id % 50 as customer_id", "timestamp'2001-07-30 00:00:00' as order_date", "'COMPLETED' as status"
+    )
+    items = spark.range(0, 60000, 1, 6).selectExpr(
+        "if(id % 3 = 0, 7, id % 3000) as order_id", "id % 400 as product_id", "1L as quantity",
+        "cast(2 as decimal(12,2)) as subtotal", "cast(2 as decimal(10,2)) as unit_price",
+    )
+    products = spark.range(400).selectExpr(
+        "id as product_id", "concat('p', id) as product_name", "concat('c', id % 4) as category", "cast(1 as decimal(10,2)) as cost"
+    )
+    df = sales.top_products(products, items, orders, AS_OF)
+    result = df.collect()
+    assert "skew=true" in planned(df)
+    assert [r["total_quantity_sold"] for r in result] == [150] * 20
