@@ -120,7 +120,7 @@ REPORTS: dict[str, Plan] = {
     "customer_data": lambda t: warehouse.customer_data(
         t.customers(),
         t.orders(_months(24)),
-        t.order_items(True),
+        t.order_items(since=_months(24)),
         t.products(),
         t.inventory(),
         t.transactions(_months(24)),

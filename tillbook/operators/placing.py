@@ -48,12 +48,19 @@ def rows_ahead_overall(rows: DataFrame, shown: DataFrame, limit: int) -> DataFra
 
 def _counted(rows: DataFrame, limit: int, *group: str) -> DataFrame:
     """Weight per group and number of marks not after the row's key."""
-    return (
-        rows.select(*group, "weight", _marks_not_after("marks", "key", limit).alias("slot"), F.size("marks").alias("n"))
-        .filter(F.col("slot") < F.col("n"))
-        .groupBy(*group, "slot")
-        .agg(F.sum("weight").alias("weight"))
-    )
+    inside = rows.filter(F.col("key") < F.element_at("marks", -1))
+    return _searched(inside, limit).groupBy(*group, "slot").agg(F.sum("weight").alias("weight"))
+
+
+def _searched(rows: DataFrame, limit: int) -> DataFrame:
+    """Add ``slot``, the number of sorted ``marks`` not after ``key``: a binary
+    search by halving strides. One projection per step keeps it in generated code."""
+    rows = rows.withColumn("slot", F.lit(0))
+    for bit in reversed(range(max(limit, 1).bit_length())):
+        stride = 1 << bit
+        passed = F.get("marks", F.col("slot") + (stride - 1)) <= F.col("key")
+        rows = rows.withColumn("slot", F.when(passed, F.col("slot") + stride).otherwise(F.col("slot")))
+    return rows
 
 
 def _running(slots: DataFrame, counted: DataFrame, *group: str) -> DataFrame:
@@ -65,16 +72,3 @@ def _running(slots: DataFrame, counted: DataFrame, *group: str) -> DataFrame:
         .withColumn("ahead", F.sum("weight").over(window))
         .filter(F.col("key").isNotNull())
     )
-
-
-def _marks_not_after(marks: str, key: str, limit: int) -> Column:
-    """How many entries of the sorted array ``marks`` are not after ``key``: a
-    binary search by halving strides."""
-    strides = [1 << bit for bit in reversed(range(max(limit, 1).bit_length()))]
-
-    def step(found: Column, stride: Column) -> Column:
-        reach = found + stride
-        fits = (reach <= F.size(marks)) & (F.try_element_at(F.col(marks), reach) <= F.col(key))
-        return F.when(fits, reach).otherwise(found)
-
-    return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), step)

@@ -123,11 +123,11 @@ class Testbed:
         return conform(rows, "inventory")
 
     def orders(self, since: datetime | None = None) -> DataFrame:
-        return self._as_orders(self.raw("orders"), since)
+        return self._as_orders(self._kept(since))
 
     def order_stream(self, files_per_batch: int = 1) -> DataFrame:
         """The orders as a stream over the table's files."""
-        return self._as_orders(self._stream("orders", files_per_batch), None)
+        return self._as_orders(self._stream("orders", files_per_batch).filter("o_custkey % 50 != 7"))
 
     def event_stream(self, files_per_batch: int = 1) -> DataFrame:
         return self._stream("events", files_per_batch).selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts")
@@ -140,12 +140,15 @@ class Testbed:
             .parquet(self.folder)
         )
 
-    def _as_orders(self, raw: DataFrame, since: datetime | None) -> DataFrame:
-        raw = raw.filter("o_custkey % 50 != 7")
-        if since is not None:
-            early = midnight(since - timedelta(days=1))
-            raw = raw.filter(f"o_orderdate >= timestamp_ntz'{early.isoformat(sep=' ')}'")
-        rows = raw.selectExpr(
+    def _kept(self, since: datetime | None) -> DataFrame:
+        kept = self.raw("orders").filter("o_custkey % 50 != 7")
+        if since is None:
+            return kept
+        early = midnight(since - timedelta(days=1))
+        return kept.filter(f"o_orderdate >= timestamp_ntz'{early.isoformat(sep=' ')}'")
+
+    def _as_orders(self, kept: DataFrame) -> DataFrame:
+        rows = kept.selectExpr(
             "o_orderkey as order_id",
             "o_custkey as customer_id",
             f"{_PLACED} as order_date",
@@ -159,11 +162,15 @@ class Testbed:
         )
         return conform(rows, "orders")
 
-    def order_items(self, any_order: bool = False) -> DataFrame:
+    def order_items(self, any_order: bool = False, since: datetime | None = None) -> DataFrame:
         """Lines of kept orders. ``any_order`` leaves out the check against the
-        orders, for plans that join the orders themselves."""
+        orders, for plans that join the orders themselves; ``since`` leaves out
+        the lines of older orders before the lines are numbered."""
         lines = self.raw("lineitem").filter("l_partkey % 40 != 1")
-        if not any_order:
+        if since is not None:
+            recent = self._kept(since).selectExpr("o_orderkey as l_orderkey")
+            lines = lines.join(recent, "l_orderkey", "left_semi")
+        elif not any_order:
             dropped = self.raw("orders").filter("o_custkey % 50 = 7").selectExpr("o_orderkey as l_orderkey")
             lines = lines.join(dropped, "l_orderkey", "left_anti")
         # The id leaves room for 999 lines an order, which bounds this window;
