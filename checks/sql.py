@@ -10,6 +10,9 @@ import re
 
 from checks.tables_sql import AS_OF, TABLES, columns
 
+# Whole numbers some queries return as NULL; pandas shows them as floats.
+NULLABLE_NUMBERS = ("transaction_id", "total_items")
+
 SETTLED = "('COMPLETED', 'SHIPPED', 'DELIVERED')"
 
 
@@ -298,7 +301,7 @@ _WAREHOUSE = {
     "complex_join": f"""
         SELECT customer_id, any_value(first_name || ' ' || last_name) AS customer_name,
                any_value(customer_type) AS customer_type, count(DISTINCT order_id) AS order_count,
-               count(DISTINCT i.product_id) AS unique_products, {big("sum(quantity)")} AS total_items,
+               count(DISTINCT i.product_id) AS unique_products, {dbl("sum(quantity)")} AS total_items,
                {dbl("sum(subtotal)")} AS total_spent, count(DISTINCT transaction_id) AS transaction_count,
                count(*) FILTER (t.status = 'COMPLETED') AS successful_transactions,
                count(DISTINCT category) AS categories_purchased, {mean("quantity_available")} AS avg_inventory_level
@@ -340,7 +343,7 @@ _WAREHOUSE = {
                  total_amount::DOUBLE AS total_amount, shipping_cost::DOUBLE AS shipping_cost, tax_amount::DOUBLE AS tax_amount,
                  unit_price::DOUBLE AS unit_price, discount::DOUBLE AS discount, subtotal::DOUBLE AS subtotal,
                  current_price::DOUBLE AS current_price, cost::DOUBLE AS cost, weight::DOUBLE AS weight,
-                 is_active::BIGINT AS is_active, transaction_amount::DOUBLE AS transaction_amount,
+                 is_active::BIGINT AS is_active, transaction_id::DOUBLE AS transaction_id, transaction_amount::DOUBLE AS transaction_amount,
                  customer_lifetime_value::DOUBLE AS customer_lifetime_value, category_revenue::DOUBLE AS category_revenue,
                  state_total_revenue::DOUBLE AS state_total_revenue, manufacturer_units_sold::BIGINT AS manufacturer_units_sold),
                round(({months_to_as_of("order_date")})::DECIMAL(28,8), 2)::DOUBLE AS months_since_order,
@@ -629,15 +632,15 @@ _UPKEEP = {
           LEFT JOIN shop_orders o ON o.order_id = w.order_id""",
     "process_payments": f"""
         SELECT {columns("transactions", order_id="p.order_id",
-                        status=f'''CASE WHEN {_PENDING} THEN CASE WHEN w.order_id % 20 = 0 THEN 'FAILED' ELSE 'COMPLETED' END
+                        status=f'''CASE WHEN {_PENDING} THEN CASE WHEN w.order_id % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END
                                         ELSE p.status END''',
                         processed_at=f"CASE WHEN {_PENDING} THEN {AS_OF} ELSE processed_at END",
-                        error_message=f'''CASE WHEN {_PENDING} AND w.order_id % 20 = 0
+                        error_message=f'''CASE WHEN {_PENDING} AND w.order_id % 3 = 0
                                                THEN 'Payment declined - insufficient funds' ELSE error_message END''')}
         FROM shop_payments p LEFT JOIN want_orders w ON w.order_id = p.order_id""",
     "process_payments_orders": f"""
         SELECT {columns("orders",
-                        status='''CASE WHEN order_id % 7 <> 0 THEN status WHEN order_id % 20 = 0 THEN 'PAYMENT_FAILED'
+                        status='''CASE WHEN order_id % 7 <> 0 THEN status WHEN order_id % 3 = 0 THEN 'PAYMENT_FAILED'
                                        ELSE 'COMPLETED' END''',
                         updated_at=f"CASE WHEN order_id % 7 = 0 THEN {AS_OF} ELSE updated_at END")}
         FROM shop_orders""",

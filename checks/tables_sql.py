@@ -142,6 +142,8 @@ def columns(table: str, skip: tuple[str, ...] = (), **replaced: str) -> str:
             value = f"({value})::DOUBLE"
         elif name in _DATES.get(table, ()):
             value = f"({value})::VARCHAR"
+        elif name == "transaction_id":
+            value = f"({value})::DOUBLE"
         elif field.dataType.typeName() in ("long", "integer"):
             value = f"({value})::BIGINT"
         parts.append(f"{value} AS {name}")

@@ -351,7 +351,7 @@ class Testbed:
         return self.order_keys().selectExpr("order_id", "'SHIPPED' as status")
 
     def payment_outcomes(self) -> DataFrame:
-        return self.order_keys().selectExpr("order_id", "order_id % 20 != 0 as success")
+        return self.order_keys().selectExpr("order_id", "order_id % 3 != 0 as success")
 
     def payment_requests(self) -> DataFrame:
         """Payments to open: known orders, and as many orders that do not exist."""
