@@ -19,6 +19,7 @@ from tillbook.plans import customers, lookups, procedures, products, reports, sa
 from tillbook.plans.upkeep import accounts, ordering, payments, purging, stock, summaries
 from tillbook.session import shared_folder
 from tillbook.sources import seeds
+from tillbook.sources.parquet_store import ParquetStore
 from tillbook.sources.testbed import AS_OF, SESSIONS_AS_OF, Testbed
 from tillbook.streaming import activity
 from tillbook.streaming.daily_totals import DailyTotals
@@ -37,22 +38,30 @@ def _months(count: int) -> datetime:
     return shift_months(AS_OF, -count)
 
 
-def _stream_folder(t: Testbed, name: str) -> str:
+def _job_folder(t: Testbed, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream_sales_summary(t: Testbed) -> DataFrame:
-    job = DailyTotals(t.spark, _stream_folder(t, "daily-totals"), AS_OF, t.sales_summary())
+    job = DailyTotals(t.spark, _job_folder(t, "daily-totals"), AS_OF, t.sales_summary())
     job.start(t.order_stream()).awaitTermination()
     return job.summary().drop("summary_id")
 
 
 def _stream_session_activity(t: Testbed) -> DataFrame:
-    folder = _stream_folder(t, "activity")
+    folder = _job_folder(t, "activity")
     activity.start(t.event_stream(), folder).awaitTermination()
     return t.spark.read.parquet(f"{folder}/sessions")
 
 
+def _written(t: Testbed) -> DataFrame:
+    """Stock after a restock, written as the second version and read back."""
+    store = ParquetStore(t.spark, _job_folder(t, "store"))
+    store.write(t.inventory(), "inventory")
+    store.write(stock.restock_low(store.read("inventory"), AS_OF), "inventory")
+    return store.read("inventory")
+
+
 def _counts(tables: dict[str, DataFrame]) -> DataFrame:
     return lookups.table_row_counts(**tables)
 
@@ -264,6 +273,7 @@ SOURCES: dict[str, Plan] = {
     "seed_inventory": lambda t: seeds.seed_inventory(_numbers(t, "part", "p_partkey"), AS_OF),
     "truncate_and_reseed": _reseeded,
     "src_parquet": lambda t: t.order_items(),
+    "sink_parquet": _written,
     "stream_sales_summary": _stream_sales_summary,
     "stream_session_activity": _stream_session_activity,
 }

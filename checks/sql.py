@@ -720,6 +720,7 @@ _SOURCES = {
         UNION ALL SELECT 'products', count(*) FROM part
         UNION ALL SELECT 'inventory', count(*) FROM part
         UNION ALL SELECT unnest(['orders', 'order_items', 'transactions', 'audit_log', 'session_data']), 0""",
+    "sink_parquet": _UPKEEP["restock_low_inventory"],
     "src_parquet": f"SELECT {columns('order_items')} FROM shop_items",
     "stream_sales_summary": _MERGED_SUMMARY,
     "stream_session_activity": """
