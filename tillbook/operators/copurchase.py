@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 LARGE_ORDER = 1_000
 
 
-def _large_orders(lines: DataFrame, large: int) -> DataFrame:
-    baskets = lines.select("order_id", "product_id").distinct()
+def _large_orders(lines: DataFrame, large: int) -> DataFrame | None:
+    """Orders with more than ``large`` distinct products, and how many they hold.
+
+    Line counts, which collapse on the map side, rule out nearly every order; the
+    distinct products are counted only for what is left. None if nothing is.
+    """
+    long = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > large)
+    if long.isEmpty():
+        return None
+    baskets = lines.join(long, "order_id", "left_semi").select("order_id", "product_id").distinct()
     return baskets.groupBy("order_id").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > large)
 
 
@@ -36,13 +44,10 @@ def pairs_bought_together(
     ``min_count - 1`` of them. So the largest ``min_count - 1`` orders can be left
     out of the pairing and only looked up for pairs found elsewhere.
     """
-    biggest = (
-        _large_orders(lines, large)
-        .orderBy(F.desc("kinds"), "order_id")
-        .limit(min_count - 1)
-        .select("order_id")
-        .collect()
-    )  # at most min_count - 1 keys
+    candidates = _large_orders(lines, large)
+    biggest = []
+    if candidates is not None:  # at most min_count - 1 keys
+        biggest = candidates.orderBy(F.desc("kinds"), "order_id").limit(min_count - 1).collect()
     baskets = (
         lines.groupBy("order_id", "product_id")
         .agg(
@@ -141,15 +146,22 @@ def partners_per_product(items: DataFrame, large: int = LARGE_ORDER) -> DataFram
     product and range instead of one per partner.
     """
     baskets = items.select("order_id", "product_id").distinct()
-    large_orders = _large_orders(items, large).select("order_id")
+    large_orders = _large_orders(items, large)
     products = baskets.select("product_id").distinct()
-    if large_orders.isEmpty():
-        counted = _partner_pairs(baskets).groupBy("product_id").agg(F.count_distinct("partner").alias("partners"))
+    if large_orders is None:
+        found = _partner_pairs(baskets).select(F.explode(F.array("one", "other")).alias("product_id"))
+        counted = found.groupBy("product_id").agg(F.count(F.lit(1)).alias("partners"))
     else:
         small = baskets.join(large_orders, "order_id", "left_anti")
         big = baskets.join(large_orders, "order_id", "left_semi")
         in_big = big.select("product_id").distinct()
-        pairs = _partner_pairs(small).distinct()
+        both_ways = F.inline(
+            F.array(
+                F.struct(F.col("one").alias("product_id"), F.col("other").alias("partner")),
+                F.struct(F.col("other").alias("product_id"), F.col("one").alias("partner")),
+            )
+        )
+        pairs = _partner_pairs(small).select(both_ways)
         plain = pairs.join(in_big, "product_id", "left_anti").groupBy("product_id")
         counted = plain.agg(F.count(F.lit(1)).alias("partners")).unionByName(
             _merged_partners(pairs.join(in_big, "product_id", "left_semi"), big)
@@ -160,12 +172,10 @@ def partners_per_product(items: DataFrame, large: int = LARGE_ORDER) -> DataFram
 
 
 def _partner_pairs(baskets: DataFrame) -> DataFrame:
-    others = baskets.select("order_id", F.col("product_id").alias("partner"))
-    return (
-        baskets.join(others, "order_id")
-        .filter(F.col("product_id") != F.col("partner"))
-        .select("product_id", "partner")
-    )
+    """Distinct pairs sharing an order, each once, smaller id first."""
+    first = baskets.withColumnRenamed("product_id", "one")
+    second = baskets.withColumnRenamed("product_id", "other")
+    return first.join(second, "order_id").filter("one < other").select("one", "other").distinct()
 
 
 def _merged_partners(pairs: DataFrame, big: DataFrame) -> DataFrame:

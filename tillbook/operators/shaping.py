@@ -18,9 +18,20 @@ def since(df: DataFrame, column: str, start: datetime) -> DataFrame:
     return df.filter(F.col(column) >= stamp(start))
 
 
-def lines_per_order(items: DataFrame, *extra: Column) -> DataFrame:
-    """One row per order: ``lines``, ``units`` and any further aggregates."""
-    return items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), *extra)
+def lines_per_order(items: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """One row per order: ``lines`` and ``units``; only of ``orders`` if given."""
+    per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"))
+    return per_order if orders is None else of_orders(per_order, orders)
+
+
+def of_orders(per_order: DataFrame, orders: DataFrame) -> DataFrame:
+    """Rows of an aggregate per order that belong to ``orders``.
+
+    Where the keys are small enough to broadcast, Spark moves this semi join below
+    the aggregate, so that other orders' rows are dropped in the scan; where they
+    are not, the aggregate still goes first and collapses hot orders.
+    """
+    return per_order.join(orders.select("order_id"), "order_id", "left_semi")
 
 
 def top(df: DataFrame, limit: int, *order: Column) -> DataFrame:

@@ -81,7 +81,7 @@ def sales_report(orders: DataFrame, items: DataFrame, as_of: datetime, days: int
     amount, tax = F.col("total_amount"), F.col("tax_amount")
     net = amount - tax - zero_if_null(F.col("shipping_cost"))
     figures = (
-        recent.join(lines_per_order(items), "order_id", "left")
+        recent.join(lines_per_order(items, recent), "order_id", "left")
         .groupBy("order_date", "status")
         .agg(
             F.count("order_id").alias("order_count"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.dates import days_before, month_key, shift_months
 from tillbook.functions.numbers import known, money_sum, ratio, weighted
-from tillbook.operators.shaping import lines_per_order, since, top
+from tillbook.operators.shaping import lines_per_order, of_orders, since, top
 
 
 def daily_summary(orders: DataFrame, items: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
@@ -20,7 +20,7 @@ def daily_summary(orders: DataFrame, items: DataFrame, as_of: datetime, days: in
     revenue = F.sum(weighted(F.col("total_amount"), F.col("lines")))
     priced_lines = F.sum(known(F.col("total_amount"), F.col("lines")))
     return (
-        recent.join(lines_per_order(items), "order_id")
+        recent.join(lines_per_order(items, recent), "order_id")
         .groupBy("order_day")
         .agg(
             F.count("order_id").alias("total_orders"),
@@ -114,7 +114,7 @@ def by_payment_method(orders: DataFrame, transactions: DataFrame, as_of: datetim
     revenue = F.sum(weighted(F.col("total_amount"), pairs))
     ok = F.sum(F.coalesce("ok", F.lit(0)))
     return (
-        recent.join(attempts, "order_id", "left")
+        recent.join(of_orders(attempts, recent), "order_id", "left")
         .groupBy("payment_method")
         .agg(
             F.sum(pairs).alias("transaction_count"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillbook.functions.dates import days_before, months_since, padded_weekday, shift_months
 from tillbook.functions.numbers import COUNT, known, ratio, rounded, weighted
 from tillbook.operators.placing import descending, newest_first, rows_ahead, rows_ahead_overall
-from tillbook.operators.shaping import bounded, full_name, since, top
+from tillbook.operators.shaping import bounded, full_name, lines_per_order, of_orders, since, top
 from tillbook.operators.staging import staged
 
 
@@ -53,23 +53,23 @@ def customer_activity(
     first by (customer, product) and then by (customer, category) replaces the
     distinct counts.
     """
+    window = since(orders, "order_date", days_before(as_of, days)).select("order_id", "customer_id")
     paid = transactions.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == "COMPLETED").alias("ok")
     )
-    recent = (
-        since(orders, "order_date", days_before(as_of, days))
-        .select("order_id", "customer_id")
-        .join(paid, "order_id", "left")
-        .select(
-            "order_id",
-            "customer_id",
-            F.coalesce("attempts", F.lit(0)).alias("attempts"),
-            F.greatest("attempts", F.lit(1)).alias("copies"),
-            F.coalesce("ok", F.lit(0)).alias("ok"),
-        )
+    recent = window.join(of_orders(paid, window), "order_id", "left").select(
+        "order_id",
+        "customer_id",
+        F.coalesce("attempts", F.lit(0)).alias("attempts"),
+        F.greatest("attempts", F.lit(1)).alias("copies"),
+        F.coalesce("ok", F.lit(0)).alias("ok"),
     )
-    per_buyer = recent.groupBy("customer_id").agg(
-        F.count("order_id").alias("order_count"), F.sum("attempts").alias("transaction_count")
+    # Orders without lines still count their completed transactions.
+    idle = F.sum(F.when(F.col("lines").isNull(), F.col("ok")).otherwise(0))
+    per_buyer = (
+        recent.join(lines_per_order(items, window), "order_id", "left")
+        .groupBy("customer_id")
+        .agg(F.count("order_id").alias("order_count"), F.sum("attempts").alias("transaction_count"), idle.alias("idle_ok"))
     )
     bought = (
         items.select("order_id", "product_id", "quantity", "subtotal")
@@ -82,13 +82,6 @@ def customer_activity(
             F.sum("ok").alias("ok"),
         )
     )
-    # Orders without lines still count their completed transactions.
-    idle = (
-        recent.filter("ok > 0")
-        .join(items.select("order_id").distinct(), "order_id", "left_anti")
-        .groupBy("customer_id")
-        .agg(F.sum("ok").alias("idle_ok"))
-    )
     stock = inventory.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("places"),
         F.count("quantity_available").alias("stocked"),
@@ -118,7 +111,6 @@ def customer_activity(
     )
     ranked = (
         per_buyer.join(spending, "customer_id", "left")
-        .join(idle, "customer_id", "left")
         .join(customers.select("customer_id", full_name().alias("customer_name"), "customer_type"), "customer_id")
         .select(
             "customer_id",
@@ -129,7 +121,7 @@ def customer_activity(
             "total_items",
             "total_spent",
             "transaction_count",
-            (F.coalesce("line_ok", F.lit(0)) + F.coalesce("idle_ok", F.lit(0))).alias("successful_transactions"),
+            (F.coalesce("line_ok", F.lit(0)) + F.col("idle_ok")).alias("successful_transactions"),
             F.coalesce("categories_purchased", F.lit(0)).alias("categories_purchased"),
             "avg_inventory_level",
         )
@@ -192,11 +184,10 @@ def customer_data(
 
 
 def _weighed_lines(customers, orders, items, products, inventory, transactions, as_of, months) -> DataFrame:
-    placed = (
-        since(orders, "order_date", shift_months(as_of, -months))
-        .select("order_id", "customer_id", "order_date", "total_amount")
-        .join(transactions.groupBy("order_id").agg(F.count(F.lit(1)).alias("attempts")), "order_id", "left")
+    placed = since(orders, "order_date", shift_months(as_of, -months)).select(
+        "order_id", "customer_id", "order_date", "total_amount"
     )
+    attempts = transactions.groupBy("order_id").agg(F.count(F.lit(1)).alias("attempts"))
     stocked = (
         products.select("product_id", "category", "manufacturer")
         .join(inventory.groupBy("product_id").agg(F.count(F.lit(1)).alias("places")), "product_id", "left")
@@ -205,6 +196,7 @@ def _weighed_lines(customers, orders, items, products, inventory, transactions,
     return (
         items.select(*_ITEM, "order_id", "product_id")
         .join(placed, "order_id")
+        .join(of_orders(attempts, placed), "order_id", "left")
         .join(stocked, "product_id")
         .join(customers.select("customer_id", "state"), "customer_id")
         .withColumn("weight", copies)

@@ -14,6 +14,9 @@ RUNTIME = {
     # Split a skewed join even where the next step then needs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Parquet holds keys in a fraction of their size in memory; without this
+    # factor a broadcast is chosen by the size of the file.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     # Merge a user's events into sessions before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
