@@ -2,9 +2,9 @@
 very large order.
 
 Most orders hold a handful of products and are paired by a join on the order.
-An order with thousands of products would square them, so such orders take
-another, exact way. A first small job looks for them; without any, the plan is
-the plain join.
+That squares an order with thousands of products, so the largest orders take
+another way with the same result. A first small job looks for them; without any,
+the plan is the plain join.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Orders with more distinct products than this are never paired by a join.
+# Orders with more distinct products than this count as large.
 LARGE_ORDER = 1_000
 
 
