@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime settings, applied to any session handed to us.
@@ -54,11 +52,11 @@ def local_session(cores: str = "8", name: str = "tillbook") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the one named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a scratch folder of its own.
+    Where a session names none, a folder in the warehouse, which executors share
+    by definition. Everything of one application lies in one subfolder named by its
+    id and may be deleted once the application has ended.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="tillbook-")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    return f"{folder.rstrip('/')}/tillbook-{spark.sparkContext.applicationId}"
