@@ -8,7 +8,7 @@ documents of that bucket are counted again, by finer buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import PLAIN_WORD
@@ -26,11 +26,19 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
         "source",
-        F.coalesce(F.regexp_count("text", F.lit(PLAIN_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 64 - BITS).alias("place"),
+        _size().alias("size"),
+        _place().alias("place"),
     )
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(PLAIN_WORD)), F.lit(0)).cast("long")
+
+
+def _place() -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 64 - BITS)
+
+
 def weighted_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """``source, source_size, target``: the total of all sizes shared out by weight.
 
@@ -98,17 +106,14 @@ def thresholds(places: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_ends.select("source", "budget", F.shiftleft("prefix", inner).alias("below"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, near: float = 0.002) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` of every row.
-
-    ``taken`` is the number of words that the mix takes of a document, repeats
-    counted: a source below its target is read whole as often as that fits, and once
-    more below its threshold. What the threshold's last document leaves over is filled
-    by a further threshold among the documents that still fit, and so on until at most
-    ``near`` of the target is missing or nothing fits; no source exceeds its target.
-    Empty documents and sources without words take nothing; an empty table gives none.
+def planned(sizes: DataFrame, weights: tuple[float, ...], most: float, near: float) -> DataFrame:
+    """``of, source_size, target, whole, rounds`` of every source ``of``.
+
+    A source is read whole ``whole`` times, and once more below its threshold. What
+    the threshold's last document leaves over is filled by a further threshold among
+    the documents that still fit, and so on until at most ``near`` of the target is
+    missing or nothing fits; no source exceeds its target.
     """
-    sizes = staged(sized(docs), "mix-sizes")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plans = weighted_targets(sizes, weights, most).withColumn("whole", whole)
     plans = plans.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
@@ -136,13 +141,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
         plans = plans.withColumn("rounds", F.when(F.col("gained") > 0, F.concat("rounds", step)).otherwise(F.col("rounds")))
         plans = plans.withColumn("rest", F.when(F.col("gained") == 0, F.lit(0)).otherwise(F.col("rest") - F.coalesce("gained", F.lit(0))))
         plans = staged(plans.select(before.columns), "mix-plans")
-    plans = plans.withColumnRenamed("source", "of").drop("rest")
+    return plans.withColumnRenamed("source", "of").drop("rest")
+
+
+def _chosen() -> Column:
+    """Whether one of the source's rounds takes the document once more."""
+    return F.exists("rounds", lambda r: (F.col("place") < r["below"]) & (F.col("size") <= r["limit"]))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, near: float = 0.002) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, source`` of every row; ``taken`` is the
+    number of words that the mix takes of a document, repeats counted.
+
+    NULL is a source like others. Empty documents and sources without words take
+    nothing; an empty table gives none.
+    """
+    sizes = staged(sized(docs), "mix-sizes")
+    plans = planned(sizes, weights, most, near)
     times = F.col("whole") + _chosen().cast("long")
     return sizes.join(plans, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source"
     )
 
 
-def _chosen():
-    """Whether one of the source's rounds takes the document once more."""
-    return F.exists("rounds", lambda r: (F.col("place") < r["below"]) & (F.col("size") <= r["limit"]))
+def drawn(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, near: float = 0.002) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as ``row``, with ``times`` and ``taken``.
+
+    Only the thresholds, one row per source, meet the texts: nothing is sorted or shuffled.
+    """
+    plans = planned(staged(sized(docs), "mix-sizes"), weights, most, near)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, "source", _size().alias("size"), _place().alias("place"))
+    times = F.col("whole") + _chosen().cast("long")
+    taken = own.join(plans, F.col("source").eqNullSafe(F.col("of"))).select("row", times.alias("times"), (F.col("size") * times).alias("taken"))
+    return taken.filter("taken > 0")

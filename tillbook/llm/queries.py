@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tillbook.llm import decontamination, mixing, near_duplicates, quality, secrets
 from tillbook.llm.common import table
 
@@ -32,6 +33,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op7_near_duplicates, op10_quality)
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {}
