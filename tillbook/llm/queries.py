@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tillbook.llm import decontamination, mixing, near_duplicates, quality, secrets
+from tillbook.llm import decontamination, mixing, near_duplicates, quality, repeats, secrets
 from tillbook.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.report(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op7_near_duplicates, op10_quality)
+    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op6_repeats, op7_near_duplicates, op10_quality)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {}
