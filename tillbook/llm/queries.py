@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tillbook.llm import decontamination, mixing, near_duplicates, quality, repeats, secrets
+from tillbook.llm import chat, decontamination, html_text, language, mixing, near_duplicates, quality, repeats, secrets, token_counts
 from tillbook.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
@@ -31,12 +39,20 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.report(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op6_repeats, op7_near_duplicates, op10_quality)
+    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op4_language, op5_html_text, op6_repeats, op7_near_duplicates, op8_token_counts, op9_chat, op10_quality)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {}
