@@ -1,0 +1,75 @@
+import hashlib
+import re
+
+from cases import messy, messy_rows
+from tillbook.llm import secrets
+from tillbook.llm.common import ready
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+KINDS = ["assign", "access", "hex"]
+KEY = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+
+TEXTS = {
+    2: 'é token=abcdef, TOKEN = "short" secret=token: abcdefgh',
+    3: f"user=alice key {KEY} at https://db.example.com/x",
+    4: f"just {KEY} and https://db.example.com/x",
+    5: f"user=alice\n\n{KEY}",
+    6: "ab " * 50 + "token=abcdef0 é" * 700,
+    7: "AKIA" + "Z" * 16 + " " + KEY + " AKIAABC",
+    8: "user=bob " + "x " * 200 + KEY,
+    9: "password=hunter22 user=bob https://a.example.com",
+    10: "0123456789abcdef01234567" * 50,
+    11: "password: " + "a1" * 20 + "\r\n\r\n" + "API_KEY='zzzzzz'",
+}
+
+
+def base(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def test_base_spans(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id bigint, text string")
+    for r in secrets.report(docs).collect():
+        want = base(TEXTS[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in want) for kind in range(3))
+        assert not want or set(listed(want).split(",")) <= set(r.spans.split(","))
+
+
+def test_weak_parts_count_together_only(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert found[3] == "identifier:0:10,key:15:55,endpoint:59:83"
+    assert found[4] == found[5] == found[8] == ""
+    assert found[7] == "access:0:20,key:21:61"
+    assert found[9] == "assign:0:17,identifier:18:26,endpoint:27:48"
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in TEXTS.items()], "doc_id bigint, text string, n_chars bigint")
+    for r in secrets.redacted(docs).collect():
+        text = TEXTS[r.doc_id]
+        spans = [tuple(map(int, s.split(":")[1:])) for s in secrets.report(docs.filter(f"doc_id = {r.doc_id}")).first().spans.split(",") if s] if r.doc_id in (2, 3, 11) else None
+        if spans is not None:
+            out, at = "", 0
+            for s, e in sorted(spans):
+                if s >= at:
+                    out, at = out + text[at:s] + "[REDACTED]", e
+                else:
+                    at = max(at, e)
+            assert r.text == out + text[at:]
+        assert r.n_chars == len(r.text)
+
+
+def test_messy_base(spark):
+    rows = secrets.report(messy(ready(spark))).collect()
+    want = sorted(hashlib.sha256(listed(base(t)).encode()).hexdigest() for _, t, *_ in messy_rows())
+    assert sorted(r.base_sha256 for r in rows) == want

@@ -15,16 +15,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs larger neighbours, then smaller ones, on a node's least
     neighbour, until nothing moves; the number of rounds grows with the logarithm of
     the number of nodes. Hubs are never gathered: minima are combined before the
-    shuffle, and the joins with them are inner joins, which adaptive execution splits.
+    shuffle and stored, so that both sides of the joins with them come straight from a
+    shuffle, whose skewed partitions adaptive execution splits.
     """
     stars = staged(_downward(edges.filter("a != b").select("a", "b")), "stars")
     state = _state(stars)
     while True:
         both = stars.union(stars.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "stars-least")
         outer = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         outer = staged(outer, "stars")
-        least = outer.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(outer.groupBy("a").agg(F.min("b").alias("m")), "stars-least")
         inner = outer.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = staged(inner.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         before, state = state, _state(stars)

@@ -74,7 +74,7 @@ class Lines(HTMLParser):
         if name == "body":
             self.open = [x for x in self.open if x[0] == "html"]
         skipped, container = self.state()
-        if name in ("article", "main") and skipped and all(x[0] in ("html", "body", "nav", "header", "div", "ul", "li", "p") for x in self.open):
+        if name in ("article", "main") and skipped and next(x[0] for x in self.open if x[1]) in ("nav", "header"):
             # Nobody puts an article into a menu: an end tag is missing.
             self.open = [x for x in self.open if not x[1]]
             skipped, container = self.state()

@@ -34,7 +34,7 @@ def piece_scores(ranks: dict[bytes, int]) -> dict[bytes, float | None]:
     The file has ranks, no chances: a piece's chance falls with its rank by Zipf's
     law. Bytes that are no piece score below all pieces.
     """
-    norm = math.log(sum(1 / (rank + 1) for rank in ranks.values()))
+    norm = math.log(sum(1 / (rank + 1) for rank in ranks.values()) or 1)
     scores: dict[bytes, float | None] = {piece[i:]: None for piece in ranks for i in range(1, len(piece))}
     scores |= {piece: -math.log(rank + 1) - norm for piece, rank in ranks.items()}
     unknown = min([s for s in scores.values() if s is not None], default=0.0) - 10
