@@ -18,9 +18,8 @@ from tillbook.functions.dates import days_before, midnight, month_start, shift_m
 from tillbook.plans import customers, lookups, procedures, products, reports, sales, warehouse
 from tillbook.plans.upkeep import accounts, ordering, payments, purging, stock, summaries
 from tillbook.session import shared_folder
-from tillbook.sources import seeds
 from tillbook.sources.parquet_store import ParquetStore
-from tillbook.sources.testbed import AS_OF, SESSIONS_AS_OF, Testbed
+from tillbook.sources.testbed import AS_OF, GATEWAYS, SESSIONS_AS_OF, Testbed
 from tillbook.streaming import activity
 from tillbook.streaming.daily_totals import DailyTotals
 
@@ -62,21 +61,6 @@ def _written(t: Testbed) -> DataFrame:
     return store.read("inventory")
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    return lookups.table_row_counts(**tables)
-
-
-def _reseeded(t: Testbed) -> DataFrame:
-    """Row counts after a reseed with as many customers and products as there are now."""
-    sizes = {name: t.raw(name).count() for name in ("customer", "part")}
-    return _counts(seeds.truncate_and_reseed(t.spark, AS_OF, sizes["customer"], sizes["part"]))
-
-
-def _numbers(t: Testbed, table: str, key: str) -> DataFrame:
-    """Seed numbers starting at 1, one per row of the table."""
-    return t.raw(table).select((F.col(key) + 1).alias("i"))
-
-
 REPORTS: dict[str, Plan] = {
     "sales_daily_summary": lambda t: sales.daily_summary(t.orders(_days(30)), t.order_items(True), AS_OF),
     "sales_monthly_trend": lambda t: sales.monthly_trend(t.orders(_months(12)), AS_OF),
@@ -191,6 +175,13 @@ def _created(t: Testbed, service: bool) -> ordering.NewOrders:
     )
 
 
+def _placed(t: Testbed) -> ordering.NewOrders:
+    gateway = F.get(F.array(*[F.lit(g) for g in GATEWAYS]), F.pmod("order_id", F.lit(len(GATEWAYS))).cast("int"))
+    return ordering.place_orders(
+        t.order_requests(), t.products(), t.orders(), t.order_items(), t.audit_log(), t.transactions(), t.inventory(), AS_OF, gateway
+    )
+
+
 def _create_queries(name: str, service: bool) -> dict[str, Plan]:
     return {
         name: lambda t: _created(t, service).orders,
@@ -213,9 +204,9 @@ UPKEEP: dict[str, Plan] = {
     "merge_product_performance": lambda t: summaries.merge_product_performance(
         t.product_performance(), t.products(), t.order_items(), AS_OF
     ).drop("performance_id"),
-    "upsert_sales_trend": lambda t: summaries.upsert_sales_trend(t.sales_summary(), t.orders(), AS_OF).drop(
-        "summary_id"
-    ),
+    "upsert_sales_trend": lambda t: summaries.upsert_sales_trend(
+        t.sales_summary(), t.orders(days_before(TODAY, 30)), AS_OF
+    ).drop("summary_id"),
     "upsert_recommendation": lambda t: summaries.upsert_recommendation(
         t.product_recommendation(), t.order_items(), AS_OF
     ),
@@ -241,6 +232,8 @@ UPKEEP: dict[str, Plan] = {
     "upgrade_customers": lambda t: accounts.upgrade_customers(t.customers(), t.customer_keys(), AS_OF),
     **_create_queries("create_orders", service=False),
     **_create_queries("create_orders_service", service=True),
+    "place_orders_transactions": lambda t: _placed(t).transactions.drop("transaction_id", "gateway_transaction_id"),
+    "place_orders_inventory": lambda t: _placed(t).inventory,
     "order_totals": lambda t: ordering.order_totals(t.orders(), t.order_items(), t.order_keys(), AS_OF),
     "update_order_status": lambda t: ordering.update_status(t.orders(), t.status_requests(), AS_OF),
     "create_transactions": lambda t: payments.create_transactions(
@@ -268,10 +261,6 @@ UPKEEP: dict[str, Plan] = {
 }
 
 SOURCES: dict[str, Plan] = {
-    "seed_customers": lambda t: seeds.seed_customers(_numbers(t, "customer", "c_custkey"), AS_OF),
-    "seed_products": lambda t: seeds.seed_products(_numbers(t, "part", "p_partkey"), AS_OF),
-    "seed_inventory": lambda t: seeds.seed_inventory(_numbers(t, "part", "p_partkey"), AS_OF),
-    "truncate_and_reseed": _reseeded,
     "src_parquet": lambda t: t.order_items(),
     "sink_parquet": _written,
     "stream_sales_summary": _stream_sales_summary,

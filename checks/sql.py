@@ -151,8 +151,8 @@ _CUSTOMERS = {
     "customer_purchase_frequency": f"""
         WITH stats AS (SELECT customer_id, count(order_id) AS n, sum(total_amount) AS spent
                        FROM shop_customers LEFT JOIN shop_orders USING (customer_id) GROUP BY customer_id)
-        SELECT CASE WHEN n > 19 THEN '20+ orders' WHEN n > 9 THEN '10-19 orders' WHEN n > 4 THEN '5-9 orders'
-                    WHEN n > 1 THEN '2-4 orders' ELSE '1 order' END AS purchase_frequency_bucket,
+        SELECT CASE WHEN n >= 20 THEN '20+ orders' WHEN n >= 10 THEN '10-19 orders' WHEN n >= 5 THEN '5-9 orders'
+                    WHEN n >= 2 THEN '2-4 orders' ELSE '1 order' END AS purchase_frequency_bucket,
                count(*) AS customer_count, {mean("n")} AS avg_orders, {mean("spent")} AS avg_revenue
         FROM stats GROUP BY 1""",
 }
@@ -598,8 +598,8 @@ _UPKEEP = {
     ),
     "calculate_loyalty": f"""
         SELECT {columns("customers", loyalty_points="earned", updated_at=AS_OF,
-                        customer_type='''CASE WHEN earned < 5000 THEN 'BRONZE' WHEN earned < 20000 THEN 'SILVER'
-                                              WHEN earned < 50000 THEN 'GOLD' ELSE 'PLATINUM' END''')}
+                        customer_type='''CASE WHEN earned >= 50000 THEN 'PLATINUM' WHEN earned >= 20000 THEN 'GOLD'
+                                              WHEN earned >= 5000 THEN 'SILVER' ELSE 'BRONZE' END''')}
         FROM shop_customers JOIN ({_POINTS}) e USING (customer_id)""",
     "add_loyalty_points": f"""
         SELECT {columns("customers", loyalty_points="loyalty_points + coalesce(points, 0)",
@@ -691,35 +691,21 @@ for _name, _doomed in _PURGES.items():
     _UPKEEP.update(_purge(_name, _doomed))
 _UPKEEP.update({**_created(False), **_created(True)})
 
-_NULL_TEXT = "NULL::VARCHAR"
+_PRICED = """SELECT w.order_id, w.product_id, w.quantity, (price * w.quantity)::DECIMAL(12,2) AS subtotal
+             FROM want_lines w JOIN shop_products USING (product_id)"""
+_UPKEEP["place_orders_transactions"] = f"""
+    SELECT {columns("transactions", _NEW_PAYMENT, transaction_type="'PAYMENT'", amount="total", currency="'USD'", status="'PENDING'",
+                    processed_at=AS_OF, error_message="NULL::VARCHAR",
+                    payment_gateway="['Stripe', 'PayPal', 'Square', 'Authorize.Net', 'Braintree'][order_id % 5 + 1]")}
+    FROM (SELECT DISTINCT order_id FROM want_lines)
+      LEFT JOIN (SELECT order_id, sum(subtotal) AS total FROM ({_PRICED}) GROUP BY order_id) USING (order_id)"""
+_UPKEEP["place_orders_inventory"] = _stock(
+    f"LEFT JOIN (SELECT product_id, sum(quantity) AS units FROM ({_PRICED}) GROUP BY product_id) u USING (product_id)",
+    "units IS NOT NULL",
+    quantity_reserved="quantity_reserved + units",
+)
+
 _SOURCES = {
-    "seed_customers": f"""
-        WITH numbers AS (SELECT c_custkey + 1 AS i FROM customer)
-        SELECT {columns("customers", customer_id="i", first_name="'FirstName' || i", last_name="'LastName' || i",
-                        email="'customer' || i || '@example.com'", phone="'555-' || lpad(i::VARCHAR, 7, '0')",
-                        address=_NULL_TEXT, city="'City' || (i % 50)", state="'State' || (i % 50)", zip_code=_NULL_TEXT,
-                        country="'USA'", created_at=AS_OF, updated_at=AS_OF, loyalty_points="(i * 100) % 10000",
-                        customer_type="CASE WHEN i % 10 = 0 THEN 'PREMIUM' ELSE 'REGULAR' END")}
-        FROM numbers""",
-    "seed_products": f"""
-        WITH numbers AS (SELECT p_partkey + 1 AS i FROM part)
-        SELECT {columns("products", product_id="i", product_name="'Product ' || i", category="'Category' || (i % 10)",
-                        subcategory="'SubCat' || (i % 20)", description=_NULL_TEXT,
-                        price="(i::DECIMAL(12,0) * 1.5 + 19.99)::DECIMAL(10,2)",
-                        cost="(i::DECIMAL(12,0) * 0.75 + 10)::DECIMAL(10,2)", weight="NULL", dimensions=_NULL_TEXT,
-                        manufacturer=_NULL_TEXT, sku="'SKU-' || lpad(i::VARCHAR, 8, '0')", created_at=AS_OF, is_active="1")}
-        FROM numbers""",
-    "seed_inventory": f"""
-        WITH numbers AS (SELECT p_partkey + 1 AS i FROM part)
-        SELECT {columns("inventory", inventory_id="i", product_id="i", warehouse_location="'WH-' || (i % 5)",
-                        quantity_available="1000 + (i * 137) % 5000", quantity_reserved="0", reorder_level="100",
-                        last_restock_date="NULL::TIMESTAMP", updated_at=AS_OF)}
-        FROM numbers""",
-    "truncate_and_reseed": """
-        SELECT 'customers' AS table_name, count(*) AS row_count FROM customer
-        UNION ALL SELECT 'products', count(*) FROM part
-        UNION ALL SELECT 'inventory', count(*) FROM part
-        UNION ALL SELECT unnest(['orders', 'order_items', 'transactions', 'audit_log', 'session_data']), 0""",
     "sink_parquet": _UPKEEP["restock_low_inventory"],
     "src_parquet": f"SELECT {columns('order_items')} FROM shop_items",
     "stream_sales_summary": _MERGED_SUMMARY,

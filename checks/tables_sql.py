@@ -48,8 +48,9 @@ TABLES = {
                o_orderdate + to_seconds(o_orderkey * 7919 % 86400) AS updated_at
         FROM orders WHERE o_custkey % 50 <> 7""",
     "shop_items": """
-        SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber,
-                 l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS order_item_id,
+        SELECT ('0x' || md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity * 100)::BIGINT,
+                 round(l_extendedprice * 100)::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, l_returnflag,
+                 l_linestatus, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)))[1:15])::BIGINT AS order_item_id,
                l_orderkey AS order_id, l_partkey AS product_id, l_quantity::BIGINT AS quantity,
                (((2 * round(100 * l_extendedprice)::BIGINT + l_quantity::BIGINT) // (2 * l_quantity::BIGINT))::DECIMAL(18,0)
                  * 0.01)::DECIMAL(10,2) AS unit_price,

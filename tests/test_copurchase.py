@@ -1,10 +1,12 @@
-"""Pair counting: the join and the way around large orders give the same."""
+"""Pair counting gives the same however orders are cut, and large orders cost no detour."""
 
 import random
+import time
 from collections import defaultdict
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tillbook.operators.copurchase import pairs_bought_together, partners_per_product
@@ -42,15 +44,15 @@ def _expected_pairs(lines, names, min_count):
     return {k: (len(s), total[k], count[k]) for k, s in found.items() if len(s) >= min_count}
 
 
-@pytest.mark.parametrize("large", [1_000, 5, 2])
+@pytest.mark.parametrize("piece", [1_000, 5, 2])
 @pytest.mark.parametrize("min_count", [2, 3, 5])
-def test_pairs_match_brute_force(spark, large, min_count):
+def test_pairs_match_brute_force(spark, piece, min_count):
     lines, names = _lines(min_count), _names()
     got = pairs_bought_together(
         spark.createDataFrame(lines, "order_id long, product_id long, subtotal decimal(12,2)"),
         spark.createDataFrame(names, "product_id long, product_name string"),
         min_count,
-        large,
+        piece,
     )
     found = {
         (r["product_1"], r["product_2"]): (r["orders"], r["combined"] or 0, r["priced_pairs"] or 0) for r in rows(got)
@@ -58,9 +60,9 @@ def test_pairs_match_brute_force(spark, large, min_count):
     assert found == _expected_pairs(lines, names, min_count)
 
 
-@pytest.mark.parametrize("large", [1_000, 4, 1])
-def test_partners_match_brute_force(spark, large):
-    # Ids far apart fall into several bitmaps, and one product is always alone.
+@pytest.mark.parametrize("piece", [1_000, 4, 1])
+def test_partners_match_brute_force(spark, piece):
+    # Ids are far apart, and one product is always alone.
     lines = [(order, product * 9_001, value) for order, product, value in _lines(9)] + [(999, 5, None)]
     by_order = defaultdict(set)
     for order, product, _ in lines:
@@ -70,6 +72,36 @@ def test_partners_match_brute_force(spark, large):
         for p in members:
             partners[p] |= members - {p}
     items = spark.createDataFrame([(o, p) for o, p, _ in lines], "order_id long, product_id long")
-    got = {r["product_id"]: r["recommendations"] for r in rows(partners_per_product(items, large))}
+    got = {r["product_id"]: r["recommendations"] for r in rows(partners_per_product(items, piece))}
     assert got == {p: len(s) for p, s in partners.items()}
     assert got[5] == 0
+
+
+def _seconds(run) -> float:
+    run()
+    began = time.perf_counter()
+    run()
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("step", [1, 40_000])
+def test_large_orders_cost_as_many_pairs_in_small_ones(spark, step):
+    """Six orders of 1,500 products against 600 orders of 150: as many pairs each."""
+    schema = "order_id long, product_id long, subtotal decimal(12,2)"
+    amount = F.lit("1.00").cast("decimal(12,2)").alias("subtotal")
+    large = spark.range(6 * 1500).select(F.expr("id div 1500").alias("order_id"), (F.expr("id % 1500") * step).alias("product_id"), amount)
+    small = spark.range(600 * 150).select(F.expr("id div 150").alias("order_id"), (F.expr("(id div 150) % 10 * 150 + id % 150") * step).alias("product_id"), amount)
+    names = spark.range(1500).select((F.col("id") * step).alias("product_id"), F.concat(F.lit("p"), "id").alias("product_name"))
+    assert large.dtypes == spark.createDataFrame([], schema).dtypes
+    for count in (lambda lines: pairs_bought_together(lines, names, 3), partners_per_product):
+        spent = {name: _seconds(lambda lines=lines: count(lines).write.format("noop").mode("overwrite").save()) for name, lines in (("large", large), ("small", small))}
+        assert spent["large"] <= 2 * spent["small"] + 1, spent
+    assert pairs_bought_together(large, names, 3).count() == 1500 * 1499 // 2
+
+
+def test_no_job_runs_while_a_plan_is_made(spark):
+    lines = spark.createDataFrame([(1, 2, None)], "order_id long, product_id long, subtotal decimal(12,2)")
+    broken = lines.withColumn("product_id", F.raise_error(F.lit("read")).cast("long"))
+    names = spark.createDataFrame([(2, "n")], "product_id long, product_name string")
+    pairs_bought_together(broken, names, 2)
+    partners_per_product(broken)

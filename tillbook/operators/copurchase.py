@@ -1,37 +1,22 @@
-"""Products bought in the same order, counted without building every pair of a
-very large order.
+"""Products bought in the same order.
 
-Most orders hold a handful of products and are paired by a join on the order.
-That squares an order with thousands of products, so the largest orders take
-another way with the same result. A first small job looks for them; without any,
-the plan is the plain join.
+Pairing the products of an order squares it. A pair never occurs in more orders than
+either of its names, so names in too few orders are dropped first. Products are paired
+by id, and an order with many of them is cut: its products are dealt out to pieces, and
+each piece is paired with the whole order under a join key of its own, so that no task
+holds a whole large order squared. One plan serves orders of every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Orders with more distinct products than this count as large.
-LARGE_ORDER = 1_000
+# Products of an order that are paired under one join key.
+PIECE = 256
 
 
-def _large_orders(lines: DataFrame, large: int) -> DataFrame | None:
-    """Orders with more than ``large`` distinct products, and how many they hold.
-
-    Line counts, which collapse on the map side, rule out nearly every order; the
-    distinct products are counted only for what is left. None if nothing is.
-    """
-    long = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > large)
-    if long.isEmpty():
-        return None
-    baskets = lines.join(long, "order_id", "left_semi").select("order_id", "product_id").distinct()
-    return baskets.groupBy("order_id").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > large)
-
-
-def pairs_bought_together(
-    lines: DataFrame, names: DataFrame, min_count: int, large: int = LARGE_ORDER
-) -> DataFrame:
+def pairs_bought_together(lines: DataFrame, names: DataFrame, min_count: int, piece: int = PIECE) -> DataFrame:
     """Name pairs found in at least ``min_count`` orders.
 
     ``lines``: order_id, product_id, subtotal. ``names``: product_id, product_name.
@@ -39,160 +24,80 @@ def pairs_bought_together(
     equal names are merged afterwards. Returns product_1, product_2, ``orders``,
     ``combined`` (sum of both subtotals over all line pairs) and ``priced_pairs``
     (how many line pairs that sum covers).
-
-    A pair that reaches ``min_count`` occurs in at least one order outside any
-    ``min_count - 1`` of them. So the largest ``min_count - 1`` orders can be left
-    out of the pairing and only looked up for pairs found elsewhere.
     """
-    candidates = _large_orders(lines, large)
-    biggest = []
-    if candidates is not None:  # at most min_count - 1 keys
-        biggest = candidates.orderBy(F.desc("kinds"), "order_id").limit(min_count - 1).collect()
+    named, titles = _named(names)
     baskets = (
         lines.groupBy("order_id", "product_id")
         .agg(
             F.count("subtotal").alias("priced"),
             F.coalesce(F.sum("subtotal"), F.lit(0)).cast("decimal(24,2)").alias("value"),
         )
-        .join(names, "product_id")
-    )
-    in_biggest = F.col("order_id").isin([row.order_id for row in biggest])
-    if not biggest:
-        return _paired(baskets).filter(F.col("orders") >= min_count)
-    elsewhere = _paired(baskets.filter(~in_biggest))
-    return _with_lookups(elsewhere, baskets.filter(in_biggest)).filter(F.col("orders") >= min_count)
-
-
-def _combined(priced_1: Column, value_1: Column, priced_2: Column, value_2: Column) -> Column:
-    return value_1 * priced_2.cast("decimal(12,0)") + value_2 * priced_1.cast("decimal(12,0)")
-
-
-def _side(baskets: DataFrame, n: int) -> DataFrame:
-    return baskets.select(
-        "order_id",
-        F.col("product_id").alias(f"id_{n}"),
-        F.col("product_name").alias(f"product_{n}"),
-        F.col("priced").alias(f"priced_{n}"),
-        F.col("value").alias(f"value_{n}"),
+        .join(named, "product_id")
     )
-
-
-def _paired(baskets: DataFrame) -> DataFrame:
-    first, second = _side(baskets, 1), _side(baskets, 2)
+    # The least and the greatest product of each name in an order: a name pair occurs
+    # in the order if the least of one lies before the greatest of the other.
+    ends = baskets.groupBy("order_id", "name_id").agg(F.min("product_id").alias("least"), F.max("product_id").alias("greatest"))
+    frequent = ends.groupBy("name_id").agg(F.count(F.lit(1)).alias("orders")).filter(F.col("orders") >= min_count).select("name_id")
+    baskets = baskets.join(frequent, "name_id", "left_semi").join(ends, ["order_id", "name_id"])
+    once = ((F.col("id_1") == F.col("least_1")) & (F.col("id_2") == F.col("greatest_2"))).cast("long")
     both = _combined(F.col("priced_1"), F.col("value_1"), F.col("priced_2"), F.col("value_2"))
-    return (
-        first.join(second, (first.order_id == second.order_id) & (first.id_1 < second.id_2))
-        .groupBy("product_1", "product_2")
+    counted = (
+        _paired(baskets, piece)
+        .groupBy("name_1", "name_2")
         .agg(
-            F.count_distinct(first.order_id).alias("orders"),
+            F.sum(once).alias("orders"),
             F.sum(both).cast("decimal(34,2)").alias("combined"),
             F.sum(F.col("priced_1") * F.col("priced_2")).alias("priced_pairs"),
         )
+        .filter(F.col("orders") >= min_count)
     )
+    for n in (1, 2):
+        counted = counted.join(titles.select(F.col("name_id").alias(f"name_{n}"), F.col("product_name").alias(f"product_{n}")), f"name_{n}")
+    return counted.select("product_1", "product_2", "orders", "combined", "priced_pairs")
 
 
-def _with_lookups(pairs: DataFrame, baskets: DataFrame) -> DataFrame:
-    """Add the share of a few large orders to pairs already found.
+def _named(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``product_id, name_id`` and ``name_id, product_name``; a name is known by its least product."""
+    titles = names.groupBy("product_name").agg(F.min("product_id").alias("name_id"))
+    same = F.col("product_name").eqNullSafe(F.col("title"))
+    found = names.join(titles.select(F.col("product_name").alias("title"), "name_id"), same)
+    return found.select("product_id", "name_id"), titles
 
-    Per pair and order the products of both names are laid out by id, once. A
-    running sum over the first name then gives each product of the second name
-    everything that stands before it, so the rows grow with the products and not
-    with their pairs.
-    """
-    names = F.explode(
-        F.array(
-            F.struct(F.lit(1).alias("side"), F.col("product_1").alias("product_name")),
-            F.struct(F.lit(2).alias("side"), F.col("product_2").alias("product_name")),
-        )
-    )
-    laid_out = (
-        pairs.select("*", names.alias("part"))
-        .select("product_1", "product_2", "orders", "combined", "priced_pairs", "part.*")
-        .join(baskets, "product_name", "left")
-    )
-    is_first = F.col("side") == 1
-    before = (
-        Window.partitionBy("product_1", "product_2", "order_id")
-        .orderBy("product_id")
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    seen = F.count_if(is_first).over(before)
-    seen_priced = F.sum(F.when(is_first, F.col("priced"))).over(before)
-    seen_value = F.sum(F.when(is_first, F.col("value"))).over(before)
-    ends = (F.col("side") == 2) & (F.col("seen") > 0)
-    both = _combined(F.col("seen_priced"), F.col("seen_value"), F.col("priced"), F.col("value"))
-    per_order = (
-        laid_out.withColumns({"seen": seen, "seen_priced": seen_priced, "seen_value": seen_value})
-        .groupBy("product_1", "product_2", "order_id")
-        .agg(
-            *(F.max(c).alias(c) for c in ("orders", "combined", "priced_pairs")),
-            F.max(F.when(ends, 1).otherwise(0)).alias("met"),
-            F.sum(F.when(ends, both)).alias("met_combined"),
-            F.sum(F.when(ends, F.col("seen_priced") * F.col("priced"))).alias("met_pairs"),
-        )
-    )
-    return per_order.groupBy("product_1", "product_2").agg(
-        (F.max("orders") + F.sum("met")).alias("orders"),
-        (F.max("combined") + F.coalesce(F.sum("met_combined"), F.lit(0))).cast("decimal(34,2)").alias("combined"),
-        (F.max("priced_pairs") + F.coalesce(F.sum("met_pairs"), F.lit(0))).alias("priced_pairs"),
-    )
+
+def _combined(priced_1: Column, value_1: Column, priced_2: Column, value_2: Column) -> Column:
+    return value_1 * priced_2.cast("decimal(12,0)") + value_2 * priced_1.cast("decimal(12,0)")
 
 
-def partners_per_product(items: DataFrame, large: int = LARGE_ORDER) -> DataFrame:
-    """Number of distinct other products each product shares an order with.
+def _paired(baskets: DataFrame, piece: int) -> DataFrame:
+    """All products of an order with all later ones; columns get the suffixes _1 and _2.
 
-    The partners from large orders are kept as bitmaps over the product id: one
-    bitmap per large order and id range, merged per product. That is one row per
-    product and range instead of one per partner.
+    An order of n products is dealt out to n / ``piece`` pieces. Its first products carry
+    the number of their piece, its second ones that of every piece they could meet.
     """
-    baskets = items.select("order_id", "product_id").distinct()
-    large_orders = _large_orders(items, large)
-    products = baskets.select("product_id").distinct()
-    if large_orders is None:
-        found = _partner_pairs(baskets).select(F.explode(F.array("one", "other")).alias("product_id"))
-        counted = found.groupBy("product_id").agg(F.count(F.lit(1)).alias("partners"))
-    else:
-        small = baskets.join(large_orders, "order_id", "left_anti")
-        big = baskets.join(large_orders, "order_id", "left_semi")
-        in_big = big.select("product_id").distinct()
-        both_ways = F.inline(
-            F.array(
-                F.struct(F.col("one").alias("product_id"), F.col("other").alias("partner")),
-                F.struct(F.col("other").alias("product_id"), F.col("one").alias("partner")),
-            )
-        )
-        pairs = _partner_pairs(small).select(both_ways)
-        plain = pairs.join(in_big, "product_id", "left_anti").groupBy("product_id")
-        counted = plain.agg(F.count(F.lit(1)).alias("partners")).unionByName(
-            _merged_partners(pairs.join(in_big, "product_id", "left_semi"), big)
-        )
-    return products.join(counted, "product_id", "left").select(
-        "product_id", F.coalesce("partners", F.lit(0)).alias("recommendations")
-    )
+    sizes = baskets.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
+    dealt = baskets.join(sizes, "order_id")
+    first = dealt.withColumn("piece", F.pmod(F.xxhash64("product_id"), F.col("pieces")).cast("int"))
+    second = dealt.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
 
+    def side(rows: DataFrame, n: int) -> DataFrame:
+        names = {"product_id": "id", "name_id": "name"}
+        given = [F.col(c).alias(f"{names.get(c, c)}_{n}") for c in baskets.columns if c != "order_id"]
+        return rows.select("order_id", "piece", *given)
 
-def _partner_pairs(baskets: DataFrame) -> DataFrame:
-    """Distinct pairs sharing an order, each once, smaller id first."""
-    first = baskets.withColumnRenamed("product_id", "one")
-    second = baskets.withColumnRenamed("product_id", "other")
-    return first.join(second, "order_id").filter("one < other").select("one", "other").distinct()
+    return side(first, 1).join(side(second, 2), ["order_id", "piece"]).filter("id_1 < id_2")
 
 
-def _merged_partners(pairs: DataFrame, big: DataFrame) -> DataFrame:
-    def bits(member: str) -> tuple[Column, Column]:
-        return F.bitmap_bucket_number(member).alias("range"), F.bitmap_construct_agg(
-            F.bitmap_bit_position(member)
-        ).alias("bits")
+def partners_per_product(items: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Number of distinct other products each product shares an order with.
 
-    span, members = bits("partner")
-    from_pairs = pairs.groupBy("product_id", span).agg(members)
-    span, members = bits("product_id")
-    per_order = big.groupBy("order_id", span).agg(members)
-    from_orders = big.join(per_order, "order_id").groupBy("product_id", "range").agg(
-        F.bitmap_or_agg("bits").alias("bits")
-    )
-    merged = from_pairs.unionByName(from_orders).groupBy("product_id", "range").agg(
-        F.bitmap_or_agg("bits").alias("bits")
+    Every pair is counted once, smaller id first; repeats are dropped before the shuffle
+    as far as a task sees them.
+    """
+    baskets = items.select("order_id", "product_id").distinct()
+    pairs = _paired(baskets, piece).select("id_1", "id_2").distinct()
+    found = pairs.select(F.explode(F.array("id_1", "id_2")).alias("product_id"))
+    counted = found.groupBy("product_id").agg(F.count(F.lit(1)).alias("partners"))
+    products = items.select("product_id").distinct()
+    return products.join(counted, "product_id", "left").select(
+        "product_id", F.coalesce("partners", F.lit(0)).alias("recommendations")
     )
-    # A large order's bitmap contains the product itself.
-    return merged.groupBy("product_id").agg((F.sum(F.bitmap_count("bits")) - 1).alias("partners"))

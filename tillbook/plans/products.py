@@ -123,24 +123,34 @@ def margin_by_category(
     products: DataFrame, items: DataFrame, orders: DataFrame, as_of: datetime, days: int = 90
 ) -> DataFrame:
     settled = since(orders, "order_date", days_before(as_of, days)).filter(F.col("status").isin(*SETTLED))
-    revenue = money_sum(F.col("subtotal"))
-    cost = F.sum(weighted(F.col("cost"), F.col("quantity")))
-    kinds = F.count_distinct("product_id")
-    return (
-        items.join(settled.select("order_id"), "order_id")
-        .join(products.select("product_id", "category", "cost", "price"), "product_id")
+    """Profit per category of settled orders. Lines are summed per product before they
+    meet its price, and orders are counted apart from that, so that no line is expanded."""
+    lines = items.select("order_id", "product_id", "quantity", "subtotal").join(settled.select("order_id"), "order_id")
+    goods = products.select("product_id", "category", "cost", "price")
+    sold = lines.groupBy("product_id").agg(
+        F.sum("quantity").alias("units"), money_sum(F.col("subtotal")).alias("sales"), F.count(F.lit(1)).alias("lines")
+    )
+    revenue, cost, kinds = F.sum("sales"), F.sum(weighted(F.col("cost"), F.col("units"))), F.count(F.lit(1))
+    priced = F.when(F.col("price").isNotNull(), F.col("lines"))
+    totals = (
+        sold.join(goods, "product_id")
         .groupBy("category")
         .agg(
             kinds.alias("product_count"),
-            F.count_distinct("order_id").alias("order_count"),
-            F.sum("quantity").alias("total_units_sold"),
+            F.sum("units").alias("total_units_sold"),
             revenue.alias("total_revenue"),
             cost.alias("total_cost"),
             (revenue - cost).alias("total_profit"),
             ratio(revenue - cost, revenue, 2, 100).alias("profit_margin_pct"),
-            ratio(F.sum("price"), F.count("price"), 2).alias("avg_price"),
+            ratio(F.sum(weighted(F.col("price"), F.col("lines"))), F.sum(priced), 2).alias("avg_price"),
             ratio(revenue - cost, kinds, 2).alias("profit_per_product"),
         )
+    )
+    held = lines.join(goods.select("product_id", "category"), "product_id").select("category", "order_id").distinct()
+    counts = held.groupBy(F.col("category").alias("of")).agg(F.count(F.lit(1)).alias("order_count"))
+    return (
+        totals.join(counts, F.col("category").eqNullSafe(F.col("of")))
+        .select("category", "product_count", "order_count", *totals.columns[2:])
         .orderBy(F.desc_nulls_first("total_profit"), F.asc_nulls_last("category"))
     )
 

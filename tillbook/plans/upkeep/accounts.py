@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.dates import stamp
-from tillbook.operators.versions import updated, updated_where, without_where
+from tillbook.operators.versions import one_per_key, updated, updated_where, without_where
 from tillbook.schema import FINISHED, conform
 
 
@@ -22,15 +22,14 @@ def calculate_loyalty(customers: DataFrame, orders: DataFrame, as_of: datetime)
         .agg(F.sum("total_amount").alias("spent"), F.count(F.lit(1)).alias("orders_made"))
     )
     earned = F.coalesce((F.col("spent") * 10).cast("long"), F.lit(0)) + F.coalesce("orders_made", F.lit(0)) * 50
-    changes = (
-        customers.select("customer_id").join(stats, "customer_id", "left").select("customer_id", earned.alias("earned"))
-    )
     points = F.col("earned")
     tier = (
         F.when(points >= 50000, "PLATINUM").when(points >= 20000, "GOLD").when(points >= 5000, "SILVER").otherwise("BRONZE")
     )
+    scored = customers.join(stats, "customer_id", "left").withColumn("earned", earned)
+    # Every customer changes, so the totals are joined once and nothing is looked up.
     values = {"loyalty_points": points, "customer_type": tier, "updated_at": stamp(as_of)}
-    return updated(customers, changes, "customer_id", values)
+    return updated_where(scored, F.lit(True), values).select(*customers.columns)
 
 
 def add_loyalty_points(customers: DataFrame, requests: DataFrame, as_of: datetime) -> DataFrame:
@@ -50,7 +49,9 @@ def upgrade_customers(customers: DataFrame, keys: DataFrame, as_of: datetime) ->
 
 
 def reprice_products(products: DataFrame, requests: DataFrame) -> DataFrame:
-    """Change prices by ``pct`` percent, rounded to cents."""
+    """Change prices by ``pct`` percent, rounded to cents; ``requests``: product_id, pct
+    and, where a product may occur twice, request_no: the last request counts."""
+    requests = one_per_key(requests, ["product_id"])
     factor = F.col("pct") * F.lit(Decimal("0.01")) + 1
     return updated(products, requests, "product_id", {"price": F.round(F.col("price") * factor, 2)})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from decimal import Decimal
 
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.dates import stamp
 from tillbook.functions.numbers import money_sum, share_of
-from tillbook.operators.versions import next_id, updated
+from tillbook.operators.shaping import of_orders
+from tillbook.operators.versions import next_id, one_per_key, updated, with_next_ids
+from tillbook.plans.upkeep import payments, stock
 from tillbook.schema import conform
 
 # Tax rate, and the price of a product nobody knows.
@@ -21,11 +23,14 @@ UNKNOWN_PRICE = Decimal("29.99")
 
 @dataclass(frozen=True)
 class NewOrders:
-    """Rows to append to each table."""
+    """Rows to append to orders, items, audit and transactions, and the next version
+    of the stock."""
 
     orders: DataFrame
     items: DataFrame
     audit: DataFrame
+    transactions: DataFrame | None = None
+    inventory: DataFrame | None = None
 
 
 def create_orders(
@@ -59,7 +64,8 @@ def create_orders(
         "order_id", "product_id", "quantity", F.col("price").alias("unit_price"), amount.alias("subtotal")
     )
     totals = new_items.groupBy("order_id").agg(money_sum(F.col("subtotal")).alias("total_amount"))
-    heads = asked.select("order_id", "customer_id", "payment_method").distinct().join(totals, "order_id", "left")
+    buyers = one_per_key(asked.select("order_id", "customer_id", "payment_method"), ["order_id"])
+    heads = buyers.join(totals, "order_id", "left")
     now = stamp(as_of)
     new_orders = heads.withColumns(
         {
@@ -76,18 +82,40 @@ def create_orders(
         F.col("order_id").alias("record_id"),
         F.lit("STORED_PROC" if unknown_price is not None else "SYSTEM").alias("changed_by"),
     )
-    line_id = next_id(items, "order_item_id", F.monotonically_increasing_id())
     return NewOrders(
         orders=conform(new_orders, "orders"),
-        items=conform(new_items.withColumn("order_item_id", line_id), "order_items", discount=F.lit(0)),
+        items=conform(with_next_ids(new_items, items, "order_item_id"), "order_items", discount=F.lit(0)),
         audit=audit_rows(audit, changes, as_of),
     )
 
 
+def place_orders(
+    requests: DataFrame,
+    products: DataFrame,
+    orders: DataFrame,
+    items: DataFrame,
+    audit: DataFrame,
+    transactions: DataFrame,
+    inventory: DataFrame,
+    as_of: datetime,
+    gateway: Column,
+) -> NewOrders:
+    """The service's whole order event: besides the new rows of ``create_orders``, a
+    pending payment per order, by the ``gateway`` of its order id, and the stock with
+    all units of the new lines reserved."""
+    made = create_orders(requests, products, orders, items, audit, as_of, None)
+    asked = made.orders.select("order_id", F.lit("PAYMENT").alias("transaction_type"), gateway.alias("payment_gateway"))
+    paid = payments.create_transactions(asked, made.orders, transactions, as_of)
+    held = stock.reserve(inventory, made.items, made.orders.select("order_id"), as_of)
+    return replace(made, transactions=paid, inventory=held)
+
+
 def order_totals(orders: DataFrame, items: DataFrame, keys: DataFrame, as_of: datetime) -> DataFrame:
     """Recalculate total and tax of the listed orders; NULL where there are no lines."""
-    sums = items.groupBy("order_id").agg(money_sum(F.col("subtotal")).alias("sum"))
-    changes = keys.select("order_id").distinct().join(sums, "order_id", "left")
+    listed = keys.select("order_id").distinct()
+    # Lines of other orders are dropped before they are summed.
+    sums = of_orders(items, listed).groupBy("order_id").agg(money_sum(F.col("subtotal")).alias("sum"))
+    changes = listed.join(sums, "order_id", "left")
     values = {
         "total_amount": F.col("sum"),
         "tax_amount": share_of(F.col("sum"), TAX_RATE),
@@ -97,15 +125,15 @@ def order_totals(orders: DataFrame, items: DataFrame, keys: DataFrame, as_of: da
 
 
 def update_status(orders: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
-    """Set the status per order; ``changes``: order_id, status, one row per order."""
-    renamed = changes.select("order_id", F.col("status").alias("new_status"))
+    """Set the status per order; ``changes``: order_id, status and, where an order may
+    occur twice, request_no: the last request counts."""
+    renamed = one_per_key(changes, ["order_id"]).select("order_id", F.col("status").alias("new_status"))
     return updated(orders, renamed, "order_id", {"status": F.col("new_status"), "updated_at": stamp(as_of)})
 
 
 def audit_rows(audit: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
     """Audit rows for changes (table_name, operation, record_id, changed_by)."""
-    audit_id: Column = next_id(audit, "audit_id", F.monotonically_increasing_id())
-    return conform(changes.withColumn("audit_id", audit_id), "audit_log", changed_at=stamp(as_of))
+    return conform(with_next_ids(changes, audit, "audit_id"), "audit_log", changed_at=stamp(as_of))
 
 
 def append_audit_log(audit: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.dates import stamp
-from tillbook.operators.versions import next_id, updated
-from tillbook.plans.upkeep.ordering import update_status
+from tillbook.operators.versions import one_per_key, updated, with_next_ids
+from tillbook.plans.upkeep import ordering
 from tillbook.schema import conform
 
 # Fixed value: message of a declined payment.
@@ -29,14 +29,13 @@ def create_transactions(
     totals = orders.select("order_id", F.col("total_amount").alias("amount"))
     rows = requests.join(totals, "order_id", "left").withColumns(
         {
-            "transaction_id": next_id(transactions, "transaction_id", F.monotonically_increasing_id()),
             "gateway_transaction_id": _reference(as_of, "order_id", "transaction_type", "payment_gateway"),
             "status": F.lit("PENDING"),
             "currency": F.lit("USD"),
             "processed_at": stamp(as_of),
         }
     )
-    return conform(rows, "transactions")
+    return conform(with_next_ids(rows, transactions, "transaction_id"), "transactions")
 
 
 def process_payments(
@@ -45,9 +44,10 @@ def process_payments(
     """Settle the pending transactions of the listed orders and move every listed
     order on, even one without a pending transaction.
 
-    ``outcomes``: order_id, success, one row per order. Returns the next
-    versions of transactions and orders.
+    ``outcomes``: order_id, success and, where an order may occur twice, request_no:
+    the last outcome counts. Returns the next versions of transactions and orders.
     """
+    outcomes = one_per_key(outcomes, ["order_id"])
     pending = F.col("status") == "PENDING"
     paid = F.col("success")
 
@@ -60,14 +60,13 @@ def process_payments(
         "processed_at": settled("processed_at", stamp(as_of)),
     }
     moved = outcomes.select("order_id", F.when(paid, "COMPLETED").otherwise("PAYMENT_FAILED").alias("status"))
-    return updated(transactions, outcomes, "order_id", values), update_status(orders, moved, as_of)
+    return updated(transactions, outcomes, "order_id", values), ordering.update_status(orders, moved, as_of)
 
 
 def refund_transactions(transactions: DataFrame, keys: DataFrame, as_of: datetime) -> DataFrame:
     """Completed refunds to append, one per listed transaction."""
     listed = transactions.join(keys.select("transaction_id").distinct(), "transaction_id", "left_semi")
     rows = listed.select(
-        next_id(transactions, "transaction_id", F.monotonically_increasing_id()).alias("transaction_id"),
         "order_id",
         F.lit("REFUND").alias("transaction_type"),
         (-F.col("amount")).alias("amount"),
@@ -77,4 +76,4 @@ def refund_transactions(transactions: DataFrame, keys: DataFrame, as_of: datetim
         F.lit("COMPLETED").alias("status"),
         stamp(as_of).alias("processed_at"),
     )
-    return conform(rows, "transactions")
+    return conform(with_next_ids(rows, transactions, "transaction_id"), "transactions")

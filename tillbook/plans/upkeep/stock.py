@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.dates import stamp
 from tillbook.functions.numbers import at_least
-from tillbook.operators.versions import updated, updated_where
+from tillbook.operators.versions import one_per_key, updated, updated_where
 
 
 def _per_product(requests: DataFrame, amount: str) -> DataFrame:
@@ -57,7 +57,9 @@ def restock(inventory: DataFrame, requests: DataFrame, as_of: datetime) -> DataF
 
 
 def relocate(inventory: DataFrame, targets: DataFrame, as_of: datetime) -> DataFrame:
-    changes = targets.select("product_id", F.col("warehouse_location").alias("moved_to"))
+    """Move products; ``targets``: product_id, warehouse_location and, where a product
+    may occur twice, request_no: the last request counts."""
+    changes = one_per_key(targets, ["product_id"]).select("product_id", F.col("warehouse_location").alias("moved_to"))
     values = {"warehouse_location": F.col("moved_to"), "updated_at": stamp(as_of)}
     return updated(inventory, changes, "product_id", values)
 

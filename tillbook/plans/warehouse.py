@@ -21,6 +21,8 @@ def newest_orders(customers: DataFrame, orders: DataFrame, items: DataFrame, lim
     columns = ("order_id", "customer_id", "order_date", "status", "total_amount")
     newest = (F.desc_nulls_first("order_date"), F.asc("order_id"))
     shown = top(orders.select(*columns).join(buyers, "customer_id"), limit, *newest)
+    # Read twice below, and joined once.
+    shown = staged(shown, "newest-orders")
     counts = (
         items.select("order_id")
         .join(bounded(shown.select("order_id"), limit), "order_id", "left_semi")

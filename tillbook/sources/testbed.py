@@ -173,14 +173,15 @@ class Testbed:
         elif not any_order:
             dropped = self.raw("orders").filter("o_custkey % 50 = 7").selectExpr("o_orderkey as l_orderkey")
             lines = lines.join(dropped, "l_orderkey", "left_anti")
-        # The id leaves room for 999 lines an order, which bounds this window;
-        # Catalyst drops it from every plan that does not read the id.
-        line = """row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber,
-            l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"""
+        # The id is a hash of the whole line: no order is gathered or sorted for it.
+        hundredths = ", ".join(f"cast(round({c} * 100) as bigint)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+        line = f"""concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, {hundredths},
+            l_returnflag, l_linestatus, datediff(l_shipdate, date'1970-01-01'))"""
+        line_id = f"cast(conv(substr(md5({line}), 1, 15), 16, 10) as bigint)"
         cents, units = "cast(round(l_extendedprice * 100) as bigint)", "cast(l_quantity as bigint)"
         subtotal = "cast(l_extendedprice as decimal(12,2))"
         rows = lines.selectExpr(
-            f"l_orderkey * 1000 + {line} as order_item_id",
+            f"{line_id} as order_item_id",
             "l_orderkey as order_id",
             "l_partkey as product_id",
             f"{units} as quantity",
