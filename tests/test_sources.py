@@ -1,5 +1,6 @@
 """Seeds, versions on disk and JDBC options."""
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from decimal import Decimal
 
@@ -50,8 +51,25 @@ def test_versions_on_disk(spark, table, tmp_path):
     assert [r["quantity_available"] for r in rows(store.read("inventory", 0))] == [5]
     (tmp_path / "inventory" / "version=0000000002").mkdir()  # a job that died halfway
     assert store.versions("inventory") == [0, 1]
-    assert store.write(first, "inventory", version=1) == 1
-    assert [r["quantity_available"] for r in rows(store.read("inventory"))] == [5]
+    with pytest.raises(FileExistsError):
+        store.write(first, "inventory", version=1)
+    assert [r["quantity_available"] for r in rows(store.read("inventory"))] == [6]
+    assert store.write(first, "inventory") == 3
+    assert store.replace(first, "inventory", 1) == 1
+
+
+def test_two_writers_cannot_both_win(spark, table, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    row = table("inventory", [{"inventory_id": 1, "product_id": 1, "quantity_available": 5}])
+
+    def attempt(_):
+        try:
+            return store.write(row, "inventory", version=7)
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(attempt, range(4)), key=str) == [7, None, None, None]
 
 
 def test_jdbc_options():

@@ -45,7 +45,7 @@ def test_daily_totals_over_batches(spark, order_files, tmp_path):
 def test_replayed_batch_changes_nothing(spark, order_files, tmp_path):
     job = DailyTotals(spark, str(tmp_path / "job"), AS_OF)
     read = spark.read.schema(table_schema("orders")).parquet(order_files)
-    halves = [read.filter(F.col("order_id") % 2 == half).select("order_id", "customer_id", "order_date", "status", "total_amount") for half in (0, 1)]
+    halves = [read.filter(F.col("order_id") % 2 == half).select("order_id", "customer_id", "order_date", "status", "total_amount", "updated_at") for half in (0, 1)]
     for number, half in enumerate(halves):
         job.absorb(half, number)
     before = job.summary().collect()
@@ -54,6 +54,57 @@ def test_replayed_batch_changes_nothing(spark, order_files, tmp_path):
     assert job.store.versions("sales_summary") == [0, 1]
 
 
+def _batches(table, spark, folder, batches, **options):
+    """Absorb lists of orders and return the job and all states in order of time."""
+    job = DailyTotals(spark, str(folder), AS_OF, **options)
+    last = {}
+    for number, batch in enumerate(batches):
+        job.absorb(table("orders", batch), number)
+        for order in batch:
+            if order["order_id"] not in last or order["updated_at"] >= last[order["order_id"]]["updated_at"]:
+                last[order["order_id"]] = order
+    want = summaries.merge_sales_summary(empty_table(spark, "sales_summary"), table("orders", list(last.values())), AS_OF)
+    return job, want
+
+
+def _seen(order_id, at, day="2001-07-30", **more):
+    return _order(order_id, at=f"{day} 10:00:00", **more) | {"updated_at": f"2001-07-31 {at:02d}:00:00"}
+
+
+@pytest.mark.parametrize(
+    "batches",
+    [
+        [[_seen(1, 1, status="COMPLETED", total="10.00")], [_seen(1, 2, status="SHIPPED", total="10.00")]],
+        [[_seen(1, 1), _seen(2, 1)], [_seen(1, 1), _seen(1, 1)]],
+        [[_seen(1, 1), _seen(2, 1)], [_seen(1, 2, day="2001-07-28")], [_seen(3, 3)], [_seen(1, 4)]],
+        [[_seen(1, 5, total="5.00")], [_seen(1, 2, total="2.00")], [_seen(1, 3, day="2001-07-29")]],
+        [[_seen(1, 1), _seen(2, 1)], [_seen(2, 2, status="CANCELLED")], [_seen(1, 3, status="CANCELLED")]],
+        [[_seen(1, 1), _seen(2, 1)], [_seen(1, 2, day="2001-07-02")]],
+    ],
+    ids=["moved on", "repeated", "other day", "late state", "cancelled", "out of the window"],
+)
+@pytest.mark.parametrize("compact", [1, 2, 20])
+def test_only_the_last_state_of_an_order_counts(spark, table, tmp_path, batches, compact):
+    job, want = _batches(table, spark, tmp_path, batches, compact=compact)
+    assert _days(job.summary()) == _days(want)
+
+
+def test_history_is_compacted(spark, table, tmp_path):
+    batches = [[_seen(i, i % 24, total=str(i)), _seen(1, i % 24)] for i in range(9)]
+    job, want = _batches(table, spark, tmp_path, batches, compact=2)
+    assert job._segments("base") == [5, 7] and job._segments("batch") == [6, 7, 8]
+    assert _days(job.summary()) == _days(want)
+
+
+def test_the_window_moves(spark, table, tmp_path):
+    clock = iter([datetime(2001, 7, 31, 12), datetime(2001, 8, 20, 12)])
+    job = DailyTotals(spark, str(tmp_path), lambda: next(clock))
+    job.absorb(table("orders", [_seen(1, 1)]), 0)
+    job.absorb(table("orders", [_seen(2, 1), _seen(3, 1, day="2001-08-15")]), 1)
+    found = {str(r["summary_date"]): r["total_orders"] for r in rows(job.summary())}
+    assert found == {"2001-07-30": 1, "2001-08-15": 1}
+
+
 def _events(spark, moments, user=1):
     return spark.createDataFrame([(user, m) for m in moments], "user_id long, ts timestamp")
 

@@ -2,7 +2,8 @@
 
 A version is written to a folder of its own and counts once Spark has put its
 success marker there. Readers of an earlier version are never disturbed, and a
-job that dies halfway leaves the current version as it was.
+job that dies halfway leaves the current version as it was. A complete version is
+never overwritten by accident: of two writers of one version, one fails.
 """
 
 from __future__ import annotations
@@ -20,12 +21,22 @@ class ParquetStore:
     def _folder(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/version={version:010d}"
 
+    def _path(self, pattern: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def numbers(self, pattern: str) -> list[int]:
+        """Numbers of the complete folders ``.../name=number``, in order."""
+        path, files = self._path(f"{pattern}/_SUCCESS")
+        return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in files.globStatus(path) or [])
+
+    def delete(self, folder: str) -> None:
+        path, files = self._path(folder)
+        files.delete(path, True)
+
     def versions(self, table: str) -> list[int]:
         """Complete versions, oldest first."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/version=*/_SUCCESS")
-        found = pattern.getFileSystem(conf).globStatus(pattern)
-        return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found or [])
+        return self.numbers(f"{table}/version=*")
 
     def exists(self, table: str) -> bool:
         return bool(self.versions(table))
@@ -36,13 +47,37 @@ class ParquetStore:
             version = self.versions(table)[-1]
         return self.spark.read.schema(table_schema(table)).parquet(self._folder(table, version))
 
+    def _claim(self, table: str, version: int) -> bool:
+        """Make a version one's own by creating its marker, which one writer alone can."""
+        path, files = self._path(f"{table}/claims/{version:010d}")
+        files.mkdirs(path.getParent())
+        try:
+            return bool(files.createNewFile(path))
+        except self.spark._jvm.java.io.IOException:
+            return False
+
     def write(self, df: DataFrame, table: str, version: int | None = None, by: str | None = None) -> int:
-        """Write the next version. Naming the version makes a rerun replace its
-        own earlier attempt. ``by`` partitions the files by a column."""
+        """Write the next version, or the one named, which must not be there yet.
+        ``by`` partitions the files by a column.
+
+        A version is claimed before it is written, so a second writer of the same one
+        fails; the claim of a writer that died stays, and the next number is used.
+        """
         if version is None:
-            version = max(self.versions(table), default=-1) + 1
-        writer = df.write.mode("overwrite")
+            taken = []
+            for pattern in ("claims/*", "version=*"):
+                path, files = self._path(f"{table}/{pattern}")
+                taken += [int(status.getPath().getName().split("=")[-1]) for status in files.globStatus(path) or []]
+            version = max(taken, default=-1) + 1
+        if not self._claim(table, version):
+            raise FileExistsError(f"version {version} of {table} has a writer already")
+        writer = df.write.mode("errorifexists")
         if by is not None:
             writer = writer.partitionBy(by)
         writer.parquet(self._folder(table, version))
         return version
+
+    def replace(self, df: DataFrame, table: str, version: int) -> int:
+        """Write a version that only this job numbers, over its own earlier attempt."""
+        df.write.mode("overwrite").parquet(self._folder(table, version))
+        return version
