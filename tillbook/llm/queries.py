@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from tillbook.llm import chat, decontamination, html_text, language, mixing, near_duplicates, quality, repeats, secrets, token_counts
 from tillbook.llm.common import table
+from tillbook.llm.oracles import ORACLES as ORACLES
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +55,3 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op4_language, op5_html_text, op6_repeats, op7_near_duplicates, op8_token_counts, op9_chat, op10_quality)
 } | {"pipeline": corpus_pipeline.run}
-
-ORACLES: dict[str, str] = {}
