@@ -19,7 +19,7 @@ from tillbook.plans import customers, lookups, procedures, products, reports, sa
 from tillbook.plans.upkeep import accounts, ordering, payments, purging, stock, summaries
 from tillbook.session import shared_folder
 from tillbook.sources.parquet_store import ParquetStore
-from tillbook.sources.testbed import AS_OF, GATEWAYS, SESSIONS_AS_OF, Testbed
+from checks.testbed import AS_OF, GATEWAYS, SESSIONS_AS_OF, Testbed
 from tillbook.streaming import activity
 from tillbook.streaming.daily_totals import DailyTotals
 

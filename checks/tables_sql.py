@@ -1,5 +1,5 @@
 """The test tables' mapping (FIXTURES.md, part C) as SQL, written apart from the
-DataFrame form in ``tillbook.sources.testbed``."""
+DataFrame form in ``checks.testbed``."""
 
 from tillbook.schema import table_schema
 

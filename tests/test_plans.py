@@ -7,7 +7,7 @@ import pytest
 from checks.registry import LOOKUPS, REPORTS, UPKEEP
 from conftest import planned
 from tillbook.plans import sales
-from tillbook.sources.testbed import AS_OF, Testbed
+from checks.testbed import AS_OF, Testbed
 
 FOLDER = "/root/testdata/sf0.001"
 

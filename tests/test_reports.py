@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from conftest import only, rows
 from tillbook.plans import customers, lookups, procedures, products, reports, sales, warehouse
-from tillbook.sources.testbed import AS_OF as TESTBED_AS_OF
-from tillbook.sources.testbed import Testbed
+from checks.testbed import AS_OF as TESTBED_AS_OF
+from checks.testbed import Testbed
 
 AS_OF = datetime(2001, 7, 31, 12)
 

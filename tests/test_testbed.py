@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import QUERIES
 from conftest import only, rows
-from tillbook.sources.testbed import Testbed
+from checks.testbed import Testbed
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -252,17 +252,27 @@ def _with_totals(shown: DataFrame, lines: DataFrame, picked: DataFrame, limit: i
             F.max("order_date").alias("customer_last_order_date"),
         )
     )
-    per_category = lines.groupBy("category").agg(
-        F.sum(weight).alias("category_order_count"),
-        total("subtotal").alias("category_revenue"),
-        mean("unit_price").alias("category_avg_price"),
+    # One scan gives the sums per category, state and manufacturer together, which the
+    # three totals then add up.
+    cells = lines.groupBy("category", "state", "manufacturer").agg(
+        F.sum(weight).alias("copies"),
+        total("subtotal").alias("revenue"),
+        total("unit_price").alias("prices"),
+        F.sum(known(F.col("unit_price"), weight)).alias("priced"),
+        total("total_amount").alias("totals"),
+        F.sum(F.col("quantity") * weight).alias("units"),
     )
-    per_state = lines.groupBy("state").agg(
-        F.sum(weight).alias("state_order_count"), total("total_amount").alias("state_total_revenue")
+    cells = staged(cells, "cells")
+    per_category = cells.groupBy("category").agg(
+        F.sum("copies").alias("category_order_count"),
+        F.sum("revenue").alias("category_revenue"),
+        ratio(F.sum("prices"), F.sum("priced"), 6).alias("category_avg_price"),
     )
-    per_manufacturer = lines.groupBy("manufacturer").agg(
-        F.sum(weight).alias("manufacturer_order_count"),
-        F.sum(F.col("quantity") * weight).alias("manufacturer_units_sold"),
+    per_state = cells.groupBy("state").agg(
+        F.sum("copies").alias("state_order_count"), F.sum("totals").alias("state_total_revenue")
+    )
+    per_manufacturer = cells.groupBy("manufacturer").agg(
+        F.sum("copies").alias("manufacturer_order_count"), F.sum("units").alias("manufacturer_units_sold")
     )
     shown = shown.join(per_customer, "customer_id")
     for key, totals in (("category", per_category), ("state", per_state), ("manufacturer", per_manufacturer)):
