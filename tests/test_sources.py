@@ -5,11 +5,14 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from conftest import rows
+from tillbook.plans.upkeep import ordering
 from tillbook.schema import table_names, table_schema
 from tillbook.sources import jdbc, seeds
-from tillbook.sources.parquet_store import ParquetStore
+from tillbook.sources.parquet_store import Months, ParquetStore
 
 AS_OF = datetime(2001, 7, 31, 12)
 
@@ -49,13 +52,10 @@ def test_versions_on_disk(spark, table, tmp_path):
     assert store.write(store.read("inventory").selectExpr(*[c if c != "quantity_available" else "quantity_available + 1 as quantity_available" for c in first.columns]), "inventory") == 1
     assert [r["quantity_available"] for r in rows(store.read("inventory"))] == [6]
     assert [r["quantity_available"] for r in rows(store.read("inventory", 0))] == [5]
-    (tmp_path / "inventory" / "version=0000000002").mkdir()  # a job that died halfway
     assert store.versions("inventory") == [0, 1]
     with pytest.raises(FileExistsError):
         store.write(first, "inventory", version=1)
     assert [r["quantity_available"] for r in rows(store.read("inventory"))] == [6]
-    assert store.write(first, "inventory") == 3
-    assert store.replace(first, "inventory", 1) == 1
 
 
 def test_two_writers_cannot_both_win(spark, table, tmp_path):
@@ -72,6 +72,42 @@ def test_two_writers_cannot_both_win(spark, table, tmp_path):
         assert sorted(pool.map(attempt, range(4)), key=str) == [7, None, None, None]
 
 
+def _orders(table):
+    return table("orders", [{"order_id": i, "status": "PENDING", "order_date": f"2001-0{1 + i % 3}-05 10:00:00"} for i in range(9)] + [{"order_id": 99}])
+
+
+def test_untouched_months_are_not_written_again(spark, table, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    store.commit({"orders": Months(_orders(table), "order_date")})
+    before = store._state(None)["orders"]
+    requests = spark.createDataFrame([(1, "SHIPPED"), (4, "SHIPPED")], "order_id long, status string")
+    store.update("orders", "order_date", requests, "order_id", lambda part: ordering.update_status(part, requests, AS_OF))
+    after = store._state(None)["orders"]
+    assert set(before) == set(after) == {"2001-01", "2001-02", "2001-03", "none"}
+    assert {m for m in after if after[m] != before[m]} == {"2001-02"}
+    assert {r["order_id"]: r["status"] for r in rows(store.read("orders"))} == {**{i: "PENDING" for i in range(9)}, 1: "SHIPPED", 4: "SHIPPED", 99: None}
+    assert len(rows(store.read("orders", months=["2001-02"]))) == 3
+    assert {r["status"] for r in rows(store.read("orders", 0))} == {"PENDING", None}
+
+
+def test_rows_of_other_months_are_refused(spark, table, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    store.commit({"orders": Months(_orders(table), "order_date")})
+    with pytest.raises(ValueError, match="untouched months"):
+        store.commit({"orders": Months(_orders(table), "order_date", ["2001-01"])})
+    assert store.commits() == [0]
+
+
+def test_tables_change_together(spark, table, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    lines = table("order_items", [{"order_item_id": 1, "order_id": 1, "product_id": 1}])
+    assert store.commit({"orders": Months(_orders(table), "order_date"), "order_items": lines}) == 0
+    broken = lines.withColumn("quantity", F.raise_error(F.lit("broken")).cast("long"))
+    with pytest.raises(PySparkException):
+        store.commit({"orders": _orders(table).limit(1), "order_items": broken})
+    assert store.commits() == [0] and store.read("orders").count() == 10
+
+
 def test_jdbc_options():
     db = jdbc.Database("jdbc:somewhere", "some.Driver", "reader")
     plain = jdbc.read_options(db, "ORDERS")

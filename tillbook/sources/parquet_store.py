@@ -1,83 +1,160 @@
-"""Tables as numbered Parquet versions.
+"""Tables as Parquet files under numbered commits.
 
-A version is written to a folder of its own and counts once Spark has put its
-success marker there. Readers of an earlier version are never disturbed, and a
-job that dies halfway leaves the current version as it was. A complete version is
-never overwritten by accident: of two writers of one version, one fails.
+Files are written to folders of their own; a commit is one small manifest that names
+the folders of every table, so several tables change together. Manifests are created,
+never overwritten: of two writers of one commit, one fails, and readers of an earlier
+commit are never disturbed. A table may be kept by month of a timestamp; a change then
+writes the months it touches, and the manifest keeps the folders of the others.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillbook.schema import table_schema
 
+MONTH = "_month"
+# Folder of rows without a month.
+UNDATED = "none"
+# The one folder of a table that is not kept by month.
+WHOLE = "all"
+
+
+@dataclass(frozen=True)
+class Months:
+    """Next rows of the ``touched`` months of a table kept by the month of ``column``;
+    rows of other months may come with them only if those months are listed too."""
+
+    rows: DataFrame
+    column: str
+    touched: list[str] | None = None  # None: all
+
 
 class ParquetStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _folder(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/version={version:010d}"
-
-    def _path(self, pattern: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def numbers(self, pattern: str) -> list[int]:
-        """Numbers of the complete folders ``.../name=number``, in order."""
-        path, files = self._path(f"{pattern}/_SUCCESS")
-        return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in files.globStatus(path) or [])
+    def _listed(self, pattern: str) -> list[str]:
+        path, files = self._path(pattern)
+        return sorted(status.getPath().getName() for status in files.globStatus(path) or [])
 
-    def delete(self, folder: str) -> None:
-        path, files = self._path(folder)
-        files.delete(path, True)
+    def _manifest(self, version: int) -> dict[str, dict[str, str]]:
+        """Folder by month by table. Manifests hold folder names only, a few per table."""
+        path, files = self._path(f"commits/{version:010d}.json")
+        stream = files.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def commits(self) -> list[int]:
+        return [int(name.split(".")[0]) for name in self._listed("commits/[0-9]*.json")]
 
     def versions(self, table: str) -> list[int]:
-        """Complete versions, oldest first."""
-        return self.numbers(f"{table}/version=*")
+        """Commits that changed the table, oldest first."""
+        found, before = [], None
+        for version in self.commits():
+            now = self._manifest(version).get(table)
+            if now != before:
+                found.append(version)
+            before = now
+        return found
+
+    def _state(self, version: int | None) -> dict[str, dict[str, str]]:
+        known = [v for v in self.commits() if version is None or v <= version]
+        return self._manifest(known[-1]) if known else {}
 
     def exists(self, table: str) -> bool:
-        return bool(self.versions(table))
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A version of the table, the latest by default."""
+        return table in self._state(None)
+
+    def read(self, table: str, version: int | None = None, months: list[str] | None = None) -> DataFrame:
+        """The table as of a commit, the latest by default; only of some months if given."""
+        folders = self._state(version)[table]
+        wanted = [folder for month, folder in folders.items() if months is None or month in months]
+        schema = table_schema(table)
+        if not wanted:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{folder}" for folder in wanted))
+
+    def months_of(self, table: str, column: str, keys: DataFrame, key: str) -> list[str]:
+        """Months in which rows with the given keys lie; reads the two columns only."""
+        rows = self.read(table).select(key, _month(column)).join(keys.select(key).distinct(), key, "left_semi")
+        return sorted(r[MONTH] for r in rows.select(MONTH).distinct().collect())  # a row per month
+
+    def commit(self, changes: dict[str, DataFrame | Months], version: int | None = None) -> int:
+        """Write changes of several tables and make them one commit, the next or the one
+        named. Raises FileExistsError if that commit exists; the files are then unused.
+        """
         if version is None:
-            version = self.versions(table)[-1]
-        return self.spark.read.schema(table_schema(table)).parquet(self._folder(table, version))
+            version = max(self.commits(), default=-1) + 1
+        state = self._state(version)
+        for table, change in changes.items():
+            folder = f"{table}/{uuid.uuid4().hex}"
+            if not isinstance(change, Months):
+                change.write.parquet(f"{self.root}/{folder}")
+                state[table] = {WHOLE: folder}
+                continue
+            change.rows.withColumn(MONTH, _month(change.column)).write.partitionBy(MONTH).parquet(f"{self.root}/{folder}")
+            kept = {} if change.touched is None else {m: f for m, f in state.get(table, {}).items() if m not in change.touched}
+            written = {name.split("=", 1)[1]: f"{folder}/{name}" for name in self._listed(f"{folder}/{MONTH}=*")}
+            if kept.keys() & written.keys():
+                raise ValueError(f"rows of untouched months {sorted(kept.keys() & written.keys())} of {table}")
+            state[table] = kept | written
+        self._create(f"commits/{version:010d}.json", json.dumps(state, indent=1).encode())
+        return version
 
-    def _claim(self, table: str, version: int) -> bool:
-        """Make a version one's own by creating its marker, which one writer alone can."""
-        path, files = self._path(f"{table}/claims/{version:010d}")
+    def _create(self, name: str, content: bytes) -> None:
+        """Write a file that must not exist. Renaming onto its name would replace another
+        writer's, so the name itself is created, which one writer alone can."""
+        path, files = self._path(name)
+        draft, _ = self._path(f"drafts/{uuid.uuid4().hex}")
+        claim, _ = self._path(f"{name}.claim")
         files.mkdirs(path.getParent())
+        with_content = files.create(draft, False)
+        with_content.write(content)
+        with_content.close()
         try:
-            return bool(files.createNewFile(path))
+            won = files.createNewFile(claim)
         except self.spark._jvm.java.io.IOException:
-            return False
+            won = False
+        if not won and (files.exists(path) or not self._abandoned(claim, files)):
+            raise FileExistsError(f"{name} has a writer already")
+        if files.exists(path) or not files.rename(draft, path):
+            raise FileExistsError(f"{name} has a writer already")
 
-    def write(self, df: DataFrame, table: str, version: int | None = None, by: str | None = None) -> int:
-        """Write the next version, or the one named, which must not be there yet.
-        ``by`` partitions the files by a column.
+    def _abandoned(self, claim, files) -> bool:
+        """Whether a claim is so old that its writer, which had but a rename left, is dead."""
+        age = self.spark._jvm.java.lang.System.currentTimeMillis() - files.getFileStatus(claim).getModificationTime()
+        return age > 600_000
 
-        A version is claimed before it is written, so a second writer of the same one
-        fails; the claim of a writer that died stays, and the next number is used.
-        """
-        if version is None:
-            taken = []
-            for pattern in ("claims/*", "version=*"):
-                path, files = self._path(f"{table}/{pattern}")
-                taken += [int(status.getPath().getName().split("=")[-1]) for status in files.globStatus(path) or []]
-            version = max(taken, default=-1) + 1
-        if not self._claim(table, version):
-            raise FileExistsError(f"version {version} of {table} has a writer already")
-        writer = df.write.mode("errorifexists")
-        if by is not None:
-            writer = writer.partitionBy(by)
-        writer.parquet(self._folder(table, version))
-        return version
+    def write(self, df: DataFrame, table: str, version: int | None = None) -> int:
+        return self.commit({table: df}, version)
 
-    def replace(self, df: DataFrame, table: str, version: int) -> int:
-        """Write a version that only this job numbers, over its own earlier attempt."""
-        df.write.mode("overwrite").parquet(self._folder(table, version))
-        return version
+    def update(self, table: str, column: str, keys: DataFrame, key: str, job: Callable[[DataFrame], DataFrame]) -> int:
+        """Run a job on the months in which ``keys`` lie and commit these months anew."""
+        touched = self.months_of(table, column, keys, key)
+        return self.commit({table: Months(job(self.read(table, months=touched)), column, touched)})
+
+    def numbers(self, pattern: str) -> list[int]:
+        """Numbers of the complete folders ``.../name=number``, in order."""
+        path, files = self._path(f"{pattern}/_SUCCESS")
+        return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in files.globStatus(path) or [])
+
+    def delete(self, folder: str) -> None:
+        path, files = self._path(folder)
+        files.delete(path, True)
+
+
+def _month(column: str):
+    return F.coalesce(F.date_format(column, "yyyy-MM"), F.lit(UNDATED)).alias(MONTH)

@@ -29,7 +29,7 @@ class DailyTotals:
     moves with ``as_of``, a time or a clock asked once per batch. Every ``compact``
     batches the log is written anew without what is outdated; segments before the
     last but one such base are deleted. All is stored under the batch number: a
-    replayed batch overwrites what it wrote before.
+    batch that died halfway is written over, one that was committed is skipped.
     """
 
     def __init__(
@@ -59,6 +59,8 @@ class DailyTotals:
         )
 
     def absorb(self, batch: DataFrame, number: int) -> None:
+        if number in self.store.commits():
+            return  # a replay of a batch that was done
         as_of = self.now()
         first_day = F.to_date(stamp(days_before(midnight(as_of), self.days)))
         arrived = batch.select(*_READ).withColumn("order_day", F.to_date("order_date"))
@@ -84,7 +86,7 @@ class DailyTotals:
         before = self._before(number)
         emptied = touched.join(totals, F.col("order_day") == F.col("summary_date"), "left_anti")
         before = before.join(emptied, F.col("summary_date") == F.col("order_day"), "left_anti")
-        self.store.replace(merge_daily_totals(before, totals, as_of), "sales_summary", number)
+        self.store.write(merge_daily_totals(before, totals, as_of), "sales_summary", number)
         if (number + 1) % self.compact == 0:
             self._compacted(number, first_day)
 
