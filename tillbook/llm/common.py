@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbook.operators.staging import staged
 from tillbook.session import tune
 
 # Words of the plain kind: anything between ASCII white space.
@@ -53,6 +54,40 @@ def row_id(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
 
 
+# Bits of the bitmap by which rows are held against keys before they are shuffled.
+KEY_BITS = 1 << 24
+BITMAP_BITS = 1 << 15  # of one value of Spark's bitmap functions
+
+
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only where the row's key is surely not among ``keys``.
+
+    The keys set bits of a bitmap of KEY_BITS, two megabytes whatever their number, which
+    is broadcast. So texts that a join by key has nothing to do with are not shuffled for
+    it; with far more keys than bits all are, and results are the same.
+    """
+    spot = F.pmod(F.xxhash64("id", "fp"), F.lit(KEY_BITS))
+    part, bit = F.floor(spot / BITMAP_BITS).cast("int"), (spot % BITMAP_BITS).cast("int")
+    bitmaps = keys.select(part.alias("part"), bit.alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bitmaps = staged(bitmaps, "key-bits").withColumnRenamed("part", "of")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte.cast("long"), bit % 8) == 1, F.lit(False))
+    found = rows.join(F.broadcast(bitmaps), part == F.col("of"), "left")
+    return found.withColumn("maybe", held).drop("of", "bits")
+
+
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (with ``id, fp``) joined with ``keys``, by key."""
+    return marked(rows, keys.select("id", "fp")).filter("maybe").drop("maybe").join(keys, ["id", "fp"])
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (with ``id, fp``) whose key is not among ``keys``."""
+    found = marked(rows, keys)
+    rest = found.filter("maybe").join(keys.select("id", "fp"), ["id", "fp"], "left_anti").select(found.columns)
+    return found.filter("not maybe").unionByName(rest).drop("maybe")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, though lambdas inside read it often."""
     return F.element_at(F.transform(F.array(value), body), 1)

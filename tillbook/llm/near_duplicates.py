@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import keyed, letter_words, row_id
+from tillbook.llm.common import among, keyed, letter_words, row_id, without
 from tillbook.llm.components import components
 from tillbook.operators.staging import staged
 
@@ -150,7 +150,7 @@ def verified(groups: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
 
     texts = docs.select(row_id(docs).alias("id"), F.xxhash64("text").alias("fp"), "text")
     # Rows that repeat id and text are fetched once.
-    chosen = plan.join(texts, ["id", "fp"]).dropDuplicates(["content"])
+    chosen = among(texts, staged(plan, "near-plan")).dropDuplicates(["id", "fp"])
     parts = chosen.select("content", "head", "copies", "block", "partners", "lot", "text").mapInArrow(
         shingle,
         "content binary, head bigint, copies bigint, block int, partners array<struct<left:int,right:int>>, lot bigint, shingles binary",
@@ -272,9 +272,9 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     best = found.groupBy("head").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "id")).alias("best"))
     ranked = found.join(best, "head").withColumn("stays", (F.col("id") == F.col("best.id")) & (F.col("fp") == F.col("best.fp")))
     ranked = staged(ranked.groupBy("id", "fp").agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "near-ranked")
-    kept = keyed(docs).join(ranked.filter("not stays").select("id", "fp"), ["id", "fp"], "left_anti")
+    kept = without(keyed(docs), ranked.filter("not stays").select("id", "fp"))
     repeated = ranked.filter("stays and n > 1").select("id", "fp")
     if repeated.isEmpty():
         return kept.select("row.*")
-    once = kept.join(repeated, ["id", "fp"], "left_semi").groupBy("id", "fp").agg(F.first("row").alias("row"))
-    return kept.join(repeated, ["id", "fp"], "left_anti").select("row.*").union(once.select("row.*"))
+    once = among(kept, repeated).groupBy("id", "fp").agg(F.first("row").alias("row"))
+    return without(kept, repeated).select("row.*").union(once.select("row.*"))

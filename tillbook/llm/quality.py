@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import PLAIN_WORD, keyed, let, row_id
+from tillbook.llm.common import PLAIN_WORD, keyed, let, row_id, without
 from tillbook.operators.staging import staged
 
 WINDOW = 8
@@ -203,4 +203,4 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, columns as they were."""
     rejected = staged(judged(docs, **options).filter("not kept").select("id", "fp").distinct(), "quality-rejected")
-    return keyed(docs).join(rejected, ["id", "fp"], "left_anti").select("row.*")
+    return without(keyed(docs), rejected).select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import keyed, let, row_id
+from tillbook.llm.common import among, keyed, let, row_id, without
 from tillbook.operators.staging import staged
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -191,7 +191,7 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
     found = scanned(docs).filter("size(spans) > 0").select("id", "fp", apart.alias("spans")).dropDuplicates(["id", "fp"])
-    joined = keyed(docs).join(staged(found, "secret-spans"), ["id", "fp"], "left")
+    found = staged(found, "secret-spans")
     text = F.col("row.text")
 
     def rebuilt(at: Column) -> Column:
@@ -201,7 +201,7 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         rest = F.substring(text, (F.element_at(at, -1)["end"] + 1).cast("int"), F.lit(2**31 - 1))
         return F.concat(F.array_join(pieces, ""), rest)
 
-    new = F.when(F.col("spans").isNull(), text).otherwise(let(F.col("spans"), rebuilt))
-    joined = joined.withColumn("new", new)
-    columns = {"text": F.col("new"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("new")}
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    changed = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
+    columns = [changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    blanked = among(keyed(docs), found).withColumn("new", let(F.col("spans"), rebuilt)).select(*columns)
+    return without(keyed(docs), found).select("row.*").unionByName(blanked)
