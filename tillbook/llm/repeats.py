@@ -235,11 +235,13 @@ def covers(rows: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     runs = rows.select("id", "fp", F.explode(F.arrays_zip("starts", "ends", "anchors", "grams", "runs")).alias("r"))
     runs = runs.select("id", "fp", F.col("r.starts").alias("start"), F.col("r.ends").alias("end"), F.col("r.anchors").alias("anchor"), F.col("r.grams").alias("gram"), F.col("r.runs").alias("run"))
-    several = runs.groupBy("gram").count().filter("count > 1").select("gram")
+    # Stored first, so that a frequent anchor's rows come straight from a shuffle into the
+    # join, where adaptive execution can split them.
+    several = staged(runs.groupBy("gram").count().filter("count > 1").select("gram"), "repeat-grams")
     shared = staged(runs.join(several, "gram"), "repeat-shared")
     distinct = shared.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "start", "end", "anchor")).alias("at"))
     distinct = staged(distinct.select("gram", "run", "n", "at.*"), "repeat-runs")
-    whole = shared.join(distinct.filter("n > 1").select("gram", "run"), ["gram", "run"]).select("id", "fp", "start", "end")
+    whole = shared.join(distinct.filter("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("id", "fp", "start", "end")
     buckets = distinct.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").select("gram", "size")
     members = distinct.join(buckets, "gram").select("gram", "size", "id", "fp", "start", "end", "anchor", (F.col("n") == 1).alias("single"))
     members = staged(members, "repeat-members")
