@@ -45,7 +45,7 @@ def numbered(conversations: DataFrame) -> DataFrame:
 def maximal(turns: DataFrame) -> DataFrame:
     """``conv`` of the conversations that no other one continues; of equal ones, the one
     with the least id, ids compared as numbers where they are."""
-    last = turns.groupBy("conv").agg(F.max("place").alias("place"))
+    last = staged(turns.groupBy("conv").agg(F.max("place").alias("place")), "chat-last")
     ends = turns.join(last, ["conv", "place"]).select("conv", "conv_id", "place", "h1", "h2")
     ends = staged(ends.groupBy("place", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "conv")).alias("c")).select("c.conv", "place", "h1", "h2"), "chat-ends")
     proper = turns.join(last.withColumnRenamed("place", "n"), "conv").filter("place < n").select("place", "h1", "h2").distinct()

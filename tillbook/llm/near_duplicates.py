@@ -117,7 +117,9 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
     """
     members = texts.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b != last")
-    edges = members.join(shared.select("key", "b"), "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct()
+    # Stored, so that a node with very many texts can be split in the join.
+    shared = staged(shared.select("key", "b"), "near-shared")
+    edges = members.join(shared, "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct()
     return components(edges)
 
 
@@ -251,7 +253,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999) ->
     nodes = texts.select("content", "copies", "least").join(links, "content", "left").join(joined, "content", "left")
     nodes = nodes.withColumn("head", F.coalesce("head", "content")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     nodes = staged(nodes, "near-nodes")
-    whole = nodes.groupBy("head").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    whole = staged(nodes.groupBy("head").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "near-heads")
     whole = nodes.join(whole, "head").select("content", "head", F.col("links").alias("n_links"), "class_id", "class_size")
     return rows.select("id", "fp", "content", number.alias("doc_id")).join(whole, "content", "left").select(
         "id", "fp", "doc_id", "head",
@@ -270,7 +272,7 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     rows with equal ids the one with the least text hash. Rows without words all stay."""
     found = staged(classes(docs, **options).filter("class_size > 1").select("id", "fp", "doc_id", "head"), "near-classes")
     best = found.groupBy("head").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "id")).alias("best"))
-    ranked = found.join(best, "head").withColumn("stays", (F.col("id") == F.col("best.id")) & (F.col("fp") == F.col("best.fp")))
+    ranked = found.join(staged(best, "near-best"), "head").withColumn("stays", (F.col("id") == F.col("best.id")) & (F.col("fp") == F.col("best.fp")))
     ranked = staged(ranked.groupBy("id", "fp").agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "near-ranked")
     kept = without(keyed(docs), ranked.filter("not stays").select("id", "fp"))
     repeated = ranked.filter("stays and n > 1").select("id", "fp")
