@@ -24,6 +24,9 @@ LONG = "This is a long enough sentence with some words in it, and here is anothe
         (f"<body class='has-sidebar'><article class='no-comments'><p>{LONG}</p></article>", LONG),
         ("<article>Thes in.<p><b>Thes in.<br></article>", "Thes in. Thes in."),
         ("just text", "just text"),
+        (f"<article><h1>T</h1><div class='content'><p>{LONG}</p><section class='story'><p>End.</p></section></div></article>", f"T {LONG} End."),
+        (f"<main><p>Before.</p><article><p>{LONG}</p></article></main>", LONG),
+        (f"<div class='post'><p>{LONG}</p><table><tr><td>1<td>2</table></div><div class='widget'>{LONG}</div>", f"{LONG} 1 2"),
     ],
 )
 def test_main_text(html, text):

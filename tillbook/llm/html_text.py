@@ -79,7 +79,8 @@ class Lines(HTMLParser):
             self.open = [x for x in self.open if not x[1]]
             skipped, container = self.state()
         rank = self.rank(name, given)
-        if rank and not skipped:
+        # A part of an article is no container of its own, however it is called.
+        if rank > self.containers[container] and not skipped:
             self.containers.append(rank)
             container = len(self.containers) - 1
         skipped = skipped or (not rank and name not in ("html", "body") and self.boilerplate(name, given))
