@@ -75,6 +75,27 @@ def test_planted_outliers(spark):
     assert kept == set(range(200))
 
 
+def test_each_statistic_rejects_alone(spark):
+    docs = [(i, prose(60 + i % 90, i), "en", "s") for i in range(200)]
+    passage = prose(300, 901).replace("\n", "")
+    docs += [
+        (900, " ".join(f"{w} |" for w in prose(100, 900).replace("\n", "").split()), "en", "s"),
+        (901, "\n".join([w if i % 5 == 0 else "leer" for i, w in enumerate(f"{a}{b}" for a in ("ba", "de", "ki", "lo") for b in range(100))]), "en", "s"),
+        (902, prose(1450, 902).replace("\n", "") + " " + passage + " " + passage, "en", "s"),
+    ]
+    rows = {r.doc_id: r for r in quality.report(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert {d for d, r in rows.items() if not r.kept} == {900, 901, 902}
+    assert not any(r.base_failed for r in rows.values())
+    assert [(r.n_symbols > 0, r.n_dup_lines > 0, r.n_repeat_words > 0) for r in (rows[900], rows[901], rows[902])] == [(True, False, False), (False, True, False), (False, False, True)]
+
+
+def test_labelled_junk_goes(spark):
+    docs = ready(spark).read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality.report(docs).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.05
+    assert all(r.kept for r in rows if r.quality == 1)
+
+
 def test_verdicts_do_not_depend_on_partitions(spark):
     docs = messy(ready(spark))
     once, again = (sorted(map(repr, quality.report(d).collect())) for d in (docs, docs.repartition(7)))

@@ -19,13 +19,32 @@ WINDOW = 8
 # Statistics are kept as multiples of 1/UNIT, so that their sums are exact and a
 # verdict doesn't depend on the order in which tasks finish.
 UNIT = 1024
-# The standard deviation that each transformed statistic has at least.
-FLOORS = {"x1": 0.05, "x2": 0.5, "x3": 0.7, "x4": 0.7}
-DIMS = list(FLOORS)
+DIMS = ["x1", "x2", "x3", "x4"]
+SHARE, LIMIT = 0.75, 60.0
+# Symbols per 100 words, repeated lines per 100 and words in repeated windows per 100 that
+# reject a document by themselves where the bulk has none.
+JUNK = {"x2": 20, "x3": 70, "x4": 28}
 # Words and lines of neutral text with which a short document is filled up.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 50, 5, 10
 
 
+def consistency(share: float) -> float:
+    """Factor by which the covariance of the inner ``share`` of normal data, of the
+    number of dimensions here, falls short of the whole."""
+    half = len(DIMS) // 2
+    tail = lambda x, m: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(m))
+    lo, hi = 0.0, 100.0
+    while hi - lo > 1e-9:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 1 - tail(mid, half) < share else (lo, mid)
+    return (1 - tail(lo, half + 1)) / share
+
+
+# The standard deviation that each transformed statistic has at least: every variance is
+# raised by its square, so that the rates of JUNK lie at the limit.
+FLOORS = {"x1": 0.05} | {x: math.log1p(rate) * math.sqrt(consistency(SHARE) / LIMIT) for x, rate in JUNK.items()}
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """``id, fp, doc_id, lang, source`` and the counts of every document; NULL counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -166,19 +185,7 @@ def minimum_determinant(stats: DataFrame, share: float, steps: int) -> DataFrame
     return model
 
 
-def consistency(share: float) -> float:
-    """Factor by which the covariance of the inner ``share`` of normal data, of the
-    number of dimensions here, falls short of the whole."""
-    half = len(DIMS) // 2
-    tail = lambda x, m: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(m))
-    lo, hi = 0.0, 100.0
-    while hi - lo > 1e-9:
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 1 - tail(mid, half) < share else (lo, mid)
-    return (1 - tail(lo, half + 1)) / share
-
-
-def judged(docs: DataFrame, share: float = 0.75, steps: int = 5, least: int = 50, limit: float = 60.0) -> DataFrame:
+def judged(docs: DataFrame, share: float = SHARE, steps: int = 5, least: int = 50, limit: float = LIMIT) -> DataFrame:
     """Statistics and verdict of every row: ``base_failed``, ``distance``, ``kept``.
 
     Rejected are documents of fewer than 20 words, those of which more than 30 % of
