@@ -18,9 +18,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 # length in the pattern finds what dropping short matches would leave.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-# Weak candidates.
-IDENTIFIER = r"""(?i)\b(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
-KEY = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/]{0,127}[0-9])(?=[A-Za-z0-9+/]{0,127}[A-Z])(?=[A-Za-z0-9+/]{0,127}[a-z])[A-Za-z0-9+/]{32,}={0,2}"
+# Weak candidates. Identifiers may end a longer name, as in DB_USER; keys may follow a "=".
+IDENTIFIER = r"""(?i)(?<![\p{L}\p{N}])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
+KEY = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/]{0,127}[0-9])(?=[A-Za-z0-9+/]{0,127}[A-Z])(?=[A-Za-z0-9+/]{0,127}[a-z])[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|s3)://[^\x00-\x20\"'<>]{4,}"
 
 BASE_KINDS = ["assign", "access", "hex"]
@@ -104,7 +104,8 @@ def linked(found: DataFrame) -> DataFrame:
     Parts carry their paragraph and a bucket of REACH characters; a complement lies in
     the same bucket or a neighbouring one. The joins are semi joins on document,
     paragraph, role and bucket, so that no pair is ever emitted, and a bucket holds at
-    most as many parts as fit in it.
+    most as many parts as fit in it. A key that is the value of an identifier is no
+    complement of it; an endpoint may hold its own.
     """
     rich = found.filter("size(weak) > 0").dropDuplicates(["id", "fp"])
     # Paragraph breaks take part in the order as kind -1; their running count is the paragraph.
@@ -128,6 +129,7 @@ def linked(found: DataFrame) -> DataFrame:
     out = None
     for name, needs in NEEDS.items():
         weak = overlap.filter(F.col("name") == name)
+        apart = F.lit(True) if name == "endpoint" else (F.col("end2") <= F.col("start")) | (F.col("start2") >= F.col("end"))
         for need in needs:
             bucket = F.floor(F.col("start") / REACH)
             near = weak.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
@@ -135,7 +137,7 @@ def linked(found: DataFrame) -> DataFrame:
             near = near.join(
                 side,
                 (F.col("id") == F.col("id2")) & (F.col("fp") == F.col("fp2")) & (F.col("scope") == F.col("scope2")) & (F.col("bucket") == F.col("bucket2"))
-                & (F.abs(F.col("start") - F.col("start2")) <= REACH),
+                & (F.abs(F.col("start") - F.col("start2")) <= REACH) & apart,
                 "left_semi",
             )
             weak = near.drop("bucket").distinct()
