@@ -66,3 +66,25 @@ def test_drawn_rows_match_the_mix(spark):
     docs = messy(ready(spark), clashes=True)
     drawn = sorted((r.row.doc_id or 0, r.taken) for r in mixing.drawn(docs).collect())
     assert drawn == sorted((r.doc_id or 0, r.taken) for r in mixing.mix(docs).collect() if r.taken)
+
+
+def test_repeated_rows_are_taken_as_far_as_they_fit(spark):
+    rows = [(i, f"w{i} " * (1 + i * 37 % 200), "abc"[i % 3], "x") for i in range(900)]
+    rows += [(None if s == "c" else 5000, "again " * 10, s, lang) for s in "abc" for i in range(2000) for lang in ("x", "y")[i % 2]]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")
+    found = mixing.mix(docs).collect()
+    _, targets, taken = checked(found)
+    for source, target in targets.items():
+        assert taken[source] >= target * 0.99
+    assert len(found) == len(rows)
+    assert sorted(map(repr, found)) == sorted(map(repr, mixing.mix(docs.repartition(7)).collect()))
+    drawn = mixing.drawn(docs).collect()
+    assert sorted((r.row.doc_id or 0, r.taken) for r in drawn) == sorted((r.doc_id or 0, r.taken) for r in found if r.taken)
+    again = mixing.drawn(docs.repartition(7)).collect()
+    assert sorted(map(repr, drawn)) == sorted(map(repr, again))
+
+
+def test_one_repeated_row(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", None)] * 50 + [(2, "a b c", "t", None)] * 50, "doc_id int, text string, source string, lang string")
+    _, targets, taken = checked(mixing.mix(docs).collect())
+    assert all(targets[s] - 3 < taken[s] <= targets[s] for s in targets)

@@ -3,7 +3,8 @@
 A document's place is a hash of its id and text, a number below 2**60. Documents
 below a source's threshold are taken, so nobody sorts: words are summed by source
 and bucket of places, the bucket where the budget runs out is found, and only the
-documents of that bucket are counted again, by finer buckets.
+documents of that bucket are counted again, by finer buckets. Rows that repeat both id and
+text share a place; where a threshold falls on them, as many of them as fit are taken.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from tillbook.llm.common import PLAIN_WORD
 from tillbook.operators.staging import staged
 
 BITS, STEP = 60, 10
+# Repeated rows that are dealt out at a time.
+RUN = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, place`` of every document; the only pass over the texts.
 
-    A NULL text has size 0. Rows that repeat both id and text share a place and are
-    taken or left together.
+    A NULL text has size 0. Rows that repeat both id and text share a place.
     """
     return docs.select(
         "doc_id",
@@ -112,12 +114,13 @@ def planned(sizes: DataFrame, weights: tuple[float, ...], most: float, near: flo
     A source is read whole ``whole`` times, and once more below its threshold. What
     the threshold's last document leaves over is filled by a further threshold among
     the documents that still fit, and so on until at most ``near`` of the target is
-    missing or nothing fits; no source exceeds its target.
+    missing or nothing fits; no source exceeds its target. Of the rows that share the place
+    of a threshold, a round takes ``copies``; the others no longer fit.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plans = weighted_targets(sizes, weights, most).withColumn("whole", whole)
     plans = plans.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    plans = staged(plans.withColumn("rounds", F.expr("cast(array() as array<struct<below: bigint, limit: bigint>>)")), "mix-plans")
+    plans = staged(plans.withColumn("rounds", F.expr("cast(array() as array<struct<below: bigint, limit: bigint, copies: bigint>>)")), "mix-plans")
     short = (F.col("rest") > 0) & (F.col("rest") > F.col("target") * near)
     while not (lacking := plans.filter(short)).isEmpty():
         free = (
@@ -129,17 +132,20 @@ def planned(sizes: DataFrame, weights: tuple[float, ...], most: float, near: flo
         if free.isEmpty():
             break
         ends = thresholds(free, lacking.select("source", F.col("rest").alias("budget"))).select(F.col("source").alias("of"), "below")
+        at, under = F.col("place") == F.col("below"), F.col("place") < F.col("below")
         gained = (
-            free.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("place") < F.col("below")))
-            .groupBy("source")
-            .agg(F.sum("size").alias("gained"))
+            free.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("place") <= F.col("below")))
+            .groupBy("of")
+            .agg(F.sum(F.when(under, F.col("size")).otherwise(0)).alias("gained"), F.count(F.when(at, 1)).alias("rows"), F.max(F.when(at, F.col("size"))).alias("size"))
         )
-        gained = ends.join(gained, F.col("of").eqNullSafe(F.col("source")), "left").select("of", "below", F.coalesce("gained", F.lit(0)).alias("gained"))
         before = plans
-        plans = before.join(gained, F.col("source").eqNullSafe(F.col("of")), "left")
-        step = F.array(F.struct("below", F.col("rest").alias("limit")))
+        plans = before.join(gained, F.col("source").eqNullSafe(F.col("of")), "left").join(ends.withColumnRenamed("of", "from"), F.col("source").eqNullSafe(F.col("from")), "left")
+        gain = F.coalesce("gained", F.lit(0))
+        plans = plans.withColumn("copies", F.coalesce(F.least(F.col("rows"), F.floor((F.col("rest") - gain) / F.col("size"))), F.lit(0)))
+        plans = plans.withColumn("gained", gain + F.col("copies") * F.coalesce("size", F.lit(0)))
+        step = F.array(F.struct("below", F.col("rest").alias("limit"), "copies"))
         plans = plans.withColumn("rounds", F.when(F.col("gained") > 0, F.concat("rounds", step)).otherwise(F.col("rounds")))
-        plans = plans.withColumn("rest", F.when(F.col("gained") == 0, F.lit(0)).otherwise(F.col("rest") - F.coalesce("gained", F.lit(0))))
+        plans = plans.withColumn("rest", F.when(F.col("gained") == 0, F.lit(0)).otherwise(F.col("rest") - F.col("gained")))
         plans = staged(plans.select(before.columns), "mix-plans")
     return plans.withColumnRenamed("source", "of").drop("rest")
 
@@ -149,6 +155,33 @@ def _chosen() -> Column:
     return F.exists("rounds", lambda r: (F.col("place") < r["below"]) & (F.col("size") <= r["limit"]))
 
 
+def _copies() -> Column:
+    """How many rows of the document's place a round takes that ends there."""
+    held = lambda r: (F.col("place") == r["below"]) & (F.col("size") <= r["limit"])
+    return F.aggregate("rounds", F.lit(0).cast("long"), lambda n, r: n + F.when(held(r), r["copies"]).otherwise(0))
+
+
+def counted(rows: DataFrame, plans: DataFrame, own: list[str]) -> DataFrame:
+    """``own`` columns, ``source_size``, ``target`` and ``times`` of every row.
+
+    Rows of a place at which a round ends are collapsed to one per kind, on the map side
+    first, and numbered by running counts; no task sees all rows of a large group.
+    """
+    found = rows.join(plans, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", F.col("whole") + _chosen().cast("long"))
+    columns = [*own, "source_size", "target", "times"]
+    if plans.filter(F.exists("rounds", lambda r: r["copies"] > 0)).isEmpty():
+        return found.select(columns)
+    found = found.withColumn("copies", F.when(_chosen(), F.lit(0)).otherwise(_copies()))
+    kinds = found.filter("copies > 0").groupBy("of", "place", "copies", *columns).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("of", "place").orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    runs = kinds.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    last = F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1
+    dealt = runs.withColumn("i", F.explode(F.sequence(F.col("run") * RUN, last)))
+    dealt = dealt.withColumn("times", F.col("times") + (F.col("ahead") + F.col("i") < F.col("copies")).cast("long"))
+    return found.filter("copies = 0").select(columns).unionByName(dealt.select(columns))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, near: float = 0.002) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source`` of every row; ``taken`` is the
     number of words that the mix takes of a document, repeats counted.
@@ -158,20 +191,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     """
     sizes = staged(sized(docs), "mix-sizes")
     plans = planned(sizes, weights, most, near)
-    times = F.col("whole") + _chosen().cast("long")
-    return sizes.join(plans, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source"
+    return counted(sizes, plans, ["doc_id", "size", "source"]).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source"
     )
 
 
 def drawn(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, near: float = 0.002) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as ``row``, with ``times`` and ``taken``.
 
-    Only the thresholds, one row per source, meet the texts: nothing is sorted or shuffled.
+    Only the thresholds, one row per source, meet the texts: nothing is sorted or shuffled
+    but rows of a place that a threshold divides.
     """
     plans = planned(staged(sized(docs), "mix-sizes"), weights, most, near)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = docs.select(row, "source", _size().alias("size"), _place().alias("place"))
-    times = F.col("whole") + _chosen().cast("long")
-    taken = own.join(plans, F.col("source").eqNullSafe(F.col("of"))).select("row", times.alias("times"), (F.col("size") * times).alias("taken"))
+    taken = counted(own, plans, ["row", "size"]).select("row", "times", (F.col("size") * F.col("times")).alias("taken"))
     return taken.filter("taken > 0")
