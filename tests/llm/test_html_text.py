@@ -40,5 +40,25 @@ def test_page_without_containers():
     assert found == " ".join(f"{LONG} {i}" for i in range(6))
 
 
+def test_ratios_decide_over_names():
+    paragraphs = "".join(f"<p>{LONG} {i}</p>" for i in range(8))
+    whole = " ".join(f"{LONG} {i}" for i in range(8))
+    card = "<article class='card'><a href='/x'><b>More</b></a></article>"
+    assert main_text(f"<main>{paragraphs}{card}</main>") == whole
+    assert main_text(f"<body>{paragraphs}{card}</body>") == whole
+    assert main_text(f"<main>{paragraphs}<article class='card'><p>A teaser.</p></article></main>").startswith(whole)
+    half = "".join(f"<p>{LONG} {i}</p>" for i in range(8, 16))
+    assert main_text(f"<main>{paragraphs}<article>{half}</article></main>") == " ".join(f"{LONG} {i}" for i in range(16))
+    assert main_text(f"<article>{paragraphs}</article><article class='card'><a href='/x'><b>More</b></a></article>") == whole
+
+
+def test_containers_may_be_boilerplate():
+    comment = f"<article class='comment'><p>{LONG} First!</p></article>"
+    assert main_text(f"<article><p>{LONG}</p></article>{comment}") == LONG
+    assert main_text(f"<article><p>{LONG}</p>{comment}</article>") == LONG
+    assert main_text(comment) == f"{LONG} First!"
+    assert main_text(f"<article class='post format-aside'><p>{LONG}</p></article>") == LONG
+
+
 def test_smoothing_keeps_a_constant():
     assert smoothed(__import__("numpy").ones(7)).tolist() == pytest.approx([1.0] * 7)

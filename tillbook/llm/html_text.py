@@ -2,7 +2,8 @@
 
 The events of the standard library's parser are cut into lines, one per block. A
 line's ratio of text to tags, smoothed along the page by a Gaussian, tells content from
-boilerplate; containers, or where a page has none, stretches of lines, are selected by it.
+boilerplate. Where most content lies in containers (articles, main parts, parts called
+content), these bound the text; elsewhere it is a stretch of lines.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIGMA, RADIUS = 1.5, 4
+# Containers take the place of what is around them if at most 1/OWN of its content is lost.
+OWN = 4
 
 # Element names of HTML, and words that name boilerplate in class and id.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,11 +46,13 @@ CONTENT = set("content article post entry story main".split())
 class Lines(HTMLParser):
     """Lines of a page as ``[text, tags, characters in links, container]``."""
 
-    def __init__(self) -> None:
+    def __init__(self, trim: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.trim = trim  # whether containers may be boilerplate
         self.lines: list[list] = []
         self.open: list[tuple[str, bool, int]] = []  # name, skipped, container
         self.containers: list[int] = [0]  # rank of each; 0 is the page
+        self.parents: list[int] = [-1]
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0
@@ -80,10 +85,11 @@ class Lines(HTMLParser):
             skipped, container = self.state()
         rank = self.rank(name, given)
         # A part of an article is no container of its own, however it is called.
+        skipped = skipped or ((self.trim or not rank) and name not in ("html", "body") and self.boilerplate(name, given))
         if rank > self.containers[container] and not skipped:
             self.containers.append(rank)
+            self.parents.append(container)
             container = len(self.containers) - 1
-        skipped = skipped or (not rank and name not in ("html", "body") and self.boilerplate(name, given))
         self.open.append((name, skipped, container))
 
     def rank(self, name: str, given: dict) -> int:
@@ -107,7 +113,7 @@ class Lines(HTMLParser):
         named = re.split(r"\s+", f"{given.get('class', '')} {given.get('id', '')}")
         # The last part of a name says what it is: "site-menu", not "has-menu" or "menu-open".
         parts = [re.split(r"[-_]+", n) for n in named]
-        return any(p[-1] in BOILERPLATE and p[0] not in ("has", "no", "with", "article", "post", "entry") or p[0] in ("ad", "ads", "advert", "cookie", "comment", "comments") for p in parts)
+        return any(p[-1] in BOILERPLATE and p[0] not in ("has", "no", "with", "article", "post", "entry", "format") or p[0] in ("ad", "ads", "advert", "cookie", "comment", "comments") for p in parts)
 
     def handle_startendtag(self, name: str, attrs: list) -> None:
         if name in VOID:
@@ -142,38 +148,54 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[RADIUS : RADIUS + len(ratios)] / weight
 
 
+def parsed(html: str, trim: bool) -> Lines:
+    parser = Lines(trim)
+    parser.feed(html)
+    parser.close()
+    parser.end_line()
+    return parser
+
+
 def main_text(html: str | None) -> str:
     """The lines selected, joined by one space; "" for NULL, empty and textless pages.
 
     Lines count as content where their smoothed ratio exceeds the standard deviation of
-    all. Of articles, or else main parts, or else parts called content, those with content
-    lines are taken whole. A page without any gives its lines from the first to the last
-    content line, without those that are mostly links.
+    all. While at least three quarters of the content of the page, or of a container, lie
+    in containers within it, those with content take its place. A container that is left
+    is taken whole, but for containers in it without content. Where the page is left, it
+    gives its lines from the first to the last content line, without those that are mostly
+    links.
     """
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
+    parser = parsed(html, True)
+    if not parser.lines:
+        # A page whose only container has a boilerplate name.
+        parser = parsed(html, False)
+    lines, parents = parser.lines, parser.parents
     if not lines:
         return ""
     ratios = smoothed(np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines]))
     content = ratios >= min(float(ratios.std()), float(ratios.max()))
-    for rank in (3, 2, 1):
-        texts = [i for i, line in enumerate(lines) if _within(parser, line[3], rank)]
-        if texts:
-            good = {lines[i][3] for i in texts if content[i]} or {max((lines[i][3] for i in texts), key=lambda c: sum(len(x[0]) for x in lines if x[3] == c))}
-            return " ".join(lines[i][0] for i in texts if lines[i][3] in good)
+    own = [0] * len(parents)  # characters of content lines
+    for (text, _, linked, container), good in zip(lines, content):
+        own[container] += len(text) if good and linked * 2 < len(text) else 0
+    held = list(own)
+    for c in range(len(parents) - 1, 0, -1):
+        held[parents[c]] += held[c]
+    # Parents come before their parts.
+    open_, taken = [True] + [False] * (len(parents) - 1), [False] * len(parents)
+    for c in range(1, len(parents)):
+        up = parents[c]
+        entered = open_[up] and held[c] and own[up] * OWN <= held[up]
+        open_[c] = bool(entered)
+        taken[c] = bool(held[c] and (taken[up] or entered and not (own[c] * OWN <= held[c])))
+    if any(taken):
+        return " ".join(line[0] for line in lines if taken[line[3]])
     first, last = np.flatnonzero(content)[[0, -1]]
     return " ".join(text for text, _, linked, _ in lines[first : last + 1] if linked * 2 < len(text))
 
 
-def _within(parser: Lines, container: int, rank: int) -> bool:
-    return parser.containers[container] == rank
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row; repeated rows give equal rows."""
 
