@@ -102,6 +102,14 @@ def test_verdicts_do_not_depend_on_partitions(spark):
     assert once == again
 
 
+def test_equal_rows_of_other_cells_stay(spark):
+    odd = " ".join(f"{'z' * 12}{i}" for i in range(100))
+    docs = [(i, prose(60 + i % 90, i), "en", None) for i in range(100)] + [(1000 + i, " ".join(f"{'y' * 12}{i * 100 + k}" for k in range(100)), None, "en") for i in range(100)]
+    docs += [(None, odd, "en", None), (None, odd, None, "en")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    assert [(r.lang, r.source) for r in quality.clean(docs).filter("doc_id is null").collect()] == [(None, "en")]
+
+
 def test_consistency_factor():
     x = np.random.default_rng(0).normal(size=(200_000, 4))
     inner = x[(d := (x**2).sum(axis=1)) <= np.quantile(d, 0.75)]

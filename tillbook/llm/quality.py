@@ -207,7 +207,13 @@ def report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def celled(rows: DataFrame, lang: str, source: str) -> DataFrame:
+    """``rows`` with language and source in ``fp``: a verdict depends on them too."""
+    return rows.withColumn("fp", F.xxhash64("fp", F.to_json(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")))))
+
+
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, columns as they were."""
-    rejected = staged(judged(docs, **options).filter("not kept").select("id", "fp").distinct(), "quality-rejected")
-    return without(keyed(docs), rejected).select("row.*")
+    rejected = celled(judged(docs, **options).filter("not kept"), "lang", "source")
+    rejected = staged(rejected.select("id", "fp").distinct(), "quality-rejected")
+    return without(celled(keyed(docs), "row.lang", "row.source"), rejected).select("row.*")
