@@ -1,8 +1,8 @@
-"""Near duplicates: an n-gram Jaccard join over a MinHash forest.
+"""Near duplicates: an n-gram Jaccard join over MinHash bands.
 
-Documents are sets of five-word shingles. Each of TREES prefix tries sorts documents by
-a signature of its own; the common prefix asked for is shortened until a pair of the
-wanted similarity meets in some tree with the target probability. Documents that meet,
+Documents are sets of five-word shingles. Each of TREES bands keys documents by a
+signature of its own; its length, the same for all documents, is the longest by which a
+pair of the wanted similarity meets in some band with the target probability. Documents that meet,
 directly or through others, are verified together, exactly.
 """
 
