@@ -51,4 +51,27 @@ ORACLES = {
                   FROM turns SEMI JOIN kept ON turns.conv_id IS NOT DISTINCT FROM kept.conv_id)
         SELECT conv_id, part, count(*) AS n_turns, string_agg(line, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
         FROM lines GROUP BY conv_id, part""",
+    "op13_spelling": """
+        WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        per_doc AS (SELECT id, run, count(*) AS n FROM runs GROUP BY id, run),
+        crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+        bytes AS (SELECT run, n, steps, flatten(list_transform(string_split(id || ':' || run, ''),
+                lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS b FROM per_doc, crc),
+        summed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes),
+        slipped AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM summed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        cuts AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+        less AS (SELECT word, i, word[:i - 1] AS a, word[i + 1:] AS b FROM cuts),
+        near AS (SELECT x.word, y.word AS other FROM less x JOIN less y USING (i, a, b) WHERE x.word <> y.word
+                 UNION SELECT less.word, words.word FROM less JOIN words ON words.word = a || b
+                 UNION SELECT words.word, less.word FROM less JOIN words ON words.word = a || b),
+        ranked AS (SELECT near.word, other, n AS m, count(*) OVER (PARTITION BY near.word) AS n_near,
+                   row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS place FROM near JOIN words ON words.word = other),
+        forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+                  FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+        chains AS (SELECT word, word AS root FROM words UNION ALL SELECT chains.word, form FROM chains JOIN forms ON forms.word = root WHERE form IS NOT NULL),
+        ends AS (SELECT chains.word, root FROM chains JOIN forms ON forms.word = root WHERE form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tillbook.llm import chat, decontamination, html_text, language, mixing, near_duplicates, quality, repeats, secrets, token_counts
+from tillbook.llm import chat, decontamination, html_text, language, mixing, near_duplicates, quality, repeats, secrets, spelling, token_counts
 from tillbook.llm.common import table
 from tillbook.llm.oracles import ORACLES as ORACLES
 
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op4_language, op5_html_text, op6_repeats, op7_near_duplicates, op8_token_counts, op9_chat, op10_quality)
+    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op4_language, op5_html_text, op6_repeats, op7_near_duplicates, op8_token_counts, op9_chat, op10_quality, op13_spelling)
 } | {"pipeline": corpus_pipeline.run}
