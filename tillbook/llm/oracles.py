@@ -74,4 +74,26 @@ ORACLES = {
         chains AS (SELECT word, word AS root FROM words UNION ALL SELECT chains.word, form FROM chains JOIN forms ON forms.word = root WHERE form IS NOT NULL),
         ends AS (SELECT chains.word, root FROM chains JOIN forms ON forms.word = root WHERE form IS NULL)
         SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
+    "op12_phrases": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        sized AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM worded),
+        grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+                  FROM sized WHERE len(w) >= size),
+        counts AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+        totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+        cands AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND n >= 30),
+        lengths AS (SELECT *, unnest(range(2, size)) AS length FROM cands WHERE size > 2),
+        inner_spans AS (SELECT lang, a, w, length, unnest(range(1, size - length + 2)) AS i FROM lengths),
+        longer AS (SELECT lang, array_to_string(w[i:i + length - 1], ' ') AS phrase, max(a) AS most FROM inner_spans GROUP BY ALL),
+        stay AS (SELECT cands.* FROM cands LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT),
+        cut AS (SELECT *, unnest(range(1, size)) AS k FROM stay),
+        scored AS (SELECT cut.lang, cut.phrase, a, k, x.n AS l, y.n AS r, (2000000 * a::HUGEINT // (x.n + y.n)::HUGEINT)::BIGINT AS score FROM cut
+                   JOIN counts x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:k], ' ')
+                   JOIN counts y ON y.lang = cut.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM
+          (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) JOIN totals USING (lang)
+        WHERE rank <= 2000""",
 }
