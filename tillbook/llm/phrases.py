@@ -12,21 +12,22 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbook.llm.near_duplicates import mixed
+from tillbook.llm.common import among
 from tillbook.operators.staging import staged
 
 UNKNOWN = "und"
 LONGEST, THRESHOLD = 4, 30
 SHARDS = 3
-# Words of one language that a task counts together; below 2^31, so that two ids fit 64 bits.
-CHUNK = 2_000_000
+# Bytes of text that a task counts together.
+CHUNK = 12_000_000
 # Slots of the table that holds, by hash of a phrase, the scan from which it extends others.
 # Phrases that share a slot can activate a phrase early: it is then counted in vain, never wrong.
 SLOTS = 1 << 24
@@ -42,42 +43,44 @@ COUNTED = "lang string, phrase string, size int, start int, n bigint"
 ALL_WORDS = 0
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words in lower case, with BREAK between pieces."""
-    return text.translate(TABLE).replace(BREAK, b" \xff ").split()
+def portions(text: bytes, chunk: int) -> Iterator[bytes]:
+    """The text in lower case with BREAK between pieces, cut there if longer than ``chunk``."""
+    text = text.translate(TABLE)
+    at = 0
+    while len(text) - at > chunk:
+        cut = text.rfind(BREAK, at + 1, at + chunk)
+        cut = cut if cut > 0 else text.find(BREAK, at + chunk)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
-@dataclass
-class Held:
-    """Texts of one language: words as numbers in order of appearance, 0 between pieces."""
-
-    number: defaultdict = field(default_factory=defaultdict)
-    parts: list[np.ndarray] = field(default_factory=list)
-    size: int = 0
-
-    def __post_init__(self):
-        self.number.default_factory = self.number.__len__
-        self.number[BREAK]
-
-    def add(self, text: bytes) -> None:
-        words = tokens(text)
-        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
-        self.parts.append(np.zeros(1, np.int64))
-        self.size += len(words) + 1
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, int]:
+    """All words as numbers in order of appearance, the words by number, and the number of BREAK."""
+    joined = BREAK.join([b"", *texts, b""]).replace(BREAK, b" \xff ")
+    found = pc.split_pattern(pa.array([joined], pa.large_binary()), pattern=" ").values.dictionary_encode()
+    words, ids = found.dictionary, found.indices.to_numpy()
+    # The text starts with a space, so the empty word is number 0 and BREAK number 1.
+    return ids[ids != 0], words, 1
 
 
 def word_marks(words: list[bytes], lang: str) -> np.ndarray:
     seed = zlib.crc32(lang.encode())
-    return mixed(np.fromiter((zlib.crc32(w, seed) for w in words), np.uint64, len(words)) + np.uint64(seed << 32))
+    return np.fromiter((zlib.crc32(w, seed) for w in words), np.uint32, len(words))
 
 
 def extended(marks: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of phrases from those without their last word and those of the last words."""
-    return mixed(marks * np.uint64(0x9E3779B97F4A7C15) + last)
+    marks = (marks * np.uint32(0x9E3779B1)) ^ last
+    marks *= np.uint32(0x85EBCA6B)
+    marks ^= marks >> np.uint32(15)
+    return marks
 
 
 def slots(marks: np.ndarray, n_slots: int) -> np.ndarray:
-    return (marks >> np.uint64(20)).astype(np.int64) & (n_slots - 1)
+    return (marks >> np.uint32(8)) & np.uint32(n_slots - 1)
 
 
 def phrase_slot(phrase: str, lang: str, n_slots: int) -> int:
@@ -88,40 +91,44 @@ def phrase_slot(phrase: str, lang: str, n_slots: int) -> int:
     return int(slots(mark, n_slots)[0])
 
 
-def scan(lang: str, held: Held, first: np.ndarray, step: int, shards: int, longest: int):
+def scan(lang: str, texts: list[bytes], first: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
     """``lang, phrase, size, start, n`` of the phrases to be counted in this scan.
 
     ``first`` holds, per slot, the scan from which a phrase extends others. A phrase starts
     when both its parts do, and is counted in scans ``start`` to ``start + shards - 1``.
     """
-    ids = np.concatenate(held.parts)
-    words = list(held.number)
+    ids, words, ends = numbered(texts)
     if step < shards:
-        n = np.bincount(ids, minlength=len(words))[1:]
-        yield counts_batch(lang, [b""], ALL_WORDS, np.zeros(1), n.sum(keepdims=True))
-        yield counts_batch(lang, words[1:], 1, np.zeros(len(n)), n)
+        n = np.bincount(ids, minlength=len(words))[ends + 1 :]
+        yield counts_batch(lang, pa.array([b""]), ALL_WORDS, np.zeros(1), n.sum(keepdims=True))
+        yield counts_batch(lang, words[ends + 1 :], 1, np.zeros(len(n)), n)
     if not step:
         return
-    hashes = word_marks(words, lang)
-    marks, inside = hashes[ids], ids > 0
+    hashes = word_marks(words.to_pylist(), lang)
+    by_word = first[slots(hashes, len(first))]
+    by_word[ends] = NEVER
+    since, inside = by_word[ids], ids != ends
+    marks = hashes[ids]
+    last = marks
     for size in range(2, longest + 1):
-        # ``marks`` are of the phrases of size - 1 that start at each place.
-        since = np.where(inside, first[slots(marks, len(first))], NEVER)
-        start = np.maximum(since[:-1], since[1:]).astype(np.int64)
+        # ``since`` is of the phrases of size - 1 that start at each place.
+        start = np.maximum(since[:-1], since[1:])
         at = np.flatnonzero((start <= step) & (start > step - shards))
         if len(at):
             places, n = distinct(ids, at, size)
-            columns = [ids[places + i].tolist() for i in range(size)]
-            yield counts_batch(lang, [b" ".join([words[i] for i in row]) for row in zip(*columns)], size, start[places], n)
-        last = ids[size - 1 :]
-        inside = inside[: len(last)] & (last > 0)
-        marks = extended(marks[: len(last)], hashes[last])
+            parts = [words.take(pa.array(ids[places + i])) for i in range(size)]
+            yield counts_batch(lang, pc.binary_join_element_wise(*parts, pa.scalar(b" ", words.type)), size, start[places], n)
+        if size < longest:
+            last, inside = last[1:], inside[:-1] & (ids[size - 1 :] != ends)
+            marks = extended(marks[:-1], last)
+            since = first[slots(marks, len(first))]
+            since[~inside] = NEVER
 
 
-def counts_batch(lang: str, phrases: list[bytes], size: int, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def counts_batch(lang: str, phrases: pa.Array, size: int, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     columns = [
-        pa.array([lang] * len(phrases), pa.string()),
-        pa.array(phrases, pa.binary()).cast(pa.string()),
+        pa.repeat(lang, len(phrases)),
+        phrases.cast(pa.binary()).cast(pa.string()),
         pa.array(np.full(len(phrases), size, np.int32)),
         pa.array(start.astype(np.int32)),
         pa.array(n.astype(np.int64)),
@@ -134,7 +141,7 @@ def distinct(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
 
     Two ids fit a key of 64 bits; for longer phrases the key so far is numbered anew.
     """
-    key = ids[at]
+    key = ids[at].astype(np.int64)
     for i in range(1, size):
         if i > 1:
             key = np.unique(key, return_inverse=True)[1]
@@ -148,35 +155,35 @@ def counted(shard: DataFrame, first, step: int, shards: int, longest: int, chunk
 
     def count(batches):
         table = np.frombuffer(zlib.decompress(first.value), np.uint8)
-        held: defaultdict[str, Held] = defaultdict(Held)
+        held: defaultdict[str, list[bytes]] = defaultdict(list)
         total = 0
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
-                before = held[lang].size
-                held[lang].add(text or b"")
-                total += held[lang].size - before
-                if total >= chunk:
-                    for name, texts in held.items():
-                        yield from scan(name, texts, table, step, shards, longest)
-                    held, total = defaultdict(Held), 0
+                for part in portions(text, chunk):
+                    held[lang].append(part)
+                    total += len(part)
+                    if total >= chunk:
+                        for name, texts in held.items():
+                            yield from scan(name, texts, table, step, shards, longest)
+                        held, total = defaultdict(list), 0
         for name, texts in held.items():
             yield from scan(name, texts, table, step, shards, longest)
 
     return shard.mapInArrow(count, COUNTED)
 
 
-def newly_reached(totals: DataFrame, threshold: int, longest: int, n_slots: int) -> np.ndarray:
-    """Slots of all phrases that have reached the threshold: a bitmap of n_slots bits,
-    whatever the number of phrases, is what reaches the driver."""
+def slots_of(phrases: DataFrame, n_slots: int) -> np.ndarray:
+    """Slots of all these phrases: a bitmap of n_slots bits, whatever the number of
+    phrases, is what reaches the driver."""
 
     def mark(batches):
         for batch in batches:
             found = [phrase_slot(p, lang, n_slots) for p, lang in zip(batch["phrase"].to_pylist(), batch["lang"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["slot"])
 
-    reached = totals.filter((F.col("n") >= threshold) & F.col("size").between(1, longest - 1)).select("lang", "phrase")
     bits = 1 << 15  # of one value of Spark's bitmap functions
-    marked = reached.mapInArrow(mark, "slot bigint").select(F.floor(F.col("slot") / bits).alias("part"), (F.col("slot") % bits).cast("int").alias("bit"))
+    marked = phrases.select("lang", "phrase").mapInArrow(mark, "slot bigint")
+    marked = marked.select(F.floor(F.col("slot") / bits).alias("part"), (F.col("slot") % bits).cast("int").alias("bit"))
     found = np.zeros(n_slots, bool)
     for row in marked.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         at = row["part"] * bits
@@ -185,6 +192,24 @@ def newly_reached(totals: DataFrame, threshold: int, longest: int, n_slots: int)
     return found
 
 
+def reached(scans: list[DataFrame], oldest: int, threshold: int) -> DataFrame:
+    """``lang, phrase, size, start, n``: phrases with ``threshold`` occurrences in the given
+    scans, of those that started in scan ``oldest`` or later.
+
+    A phrase that reaches it has its share of that in some scan, so that only phrases with
+    so many in one are added up; the others, most of all, are not shuffled again.
+    """
+    rows = scans[0]
+    for other in scans[1:]:
+        rows = rows.unionByName(other)
+    rows = rows.filter(F.col("start") >= oldest).withColumnsRenamed({"lang": "id", "phrase": "fp"})
+    enough = F.col("n") >= -(-threshold // len(scans))
+    keys = rows.filter(enough | (F.col("size") == ALL_WORDS)).select("id", "fp").distinct()
+    held = among(rows, keys) if len(scans) > 1 else rows.filter(enough | (F.col("size") == ALL_WORDS))
+    totals = held.groupBy(F.col("id").alias("lang"), F.col("fp").alias("phrase"), "size", "start").agg(F.sum("n").alias("n"))
+    return totals.filter((F.col("n") >= threshold) | (F.col("size") == ALL_WORDS))
+
+
 def phrase_counts(
     docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, chunk: int = CHUNK, n_slots: int = SLOTS
 ) -> DataFrame:
@@ -194,26 +219,26 @@ def phrase_counts(
     NULL languages are ``und``; NULL and empty texts have no words.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text", F.col("doc_id").cast("string").alias("doc_id"))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    dealt = [staged(rows.filter(shard == i).select("lang", "text"), "phrase-shard") for i in range(shards)]
+    rows = docs.filter("text is not null").withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(shards)))
+    rows = rows.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text", "shard")
+    dealt = [staged(rows.filter(F.col("shard") == i).drop("shard"), "phrase-shard") for i in range(shards)]
     first = np.full(n_slots, NEVER, np.uint8)
-    running, done, step = None, None, 0
+    scans, complete, step = [], [], 0
     # Pending are words in the first cycle and whatever a slot can still activate.
     while step < shards or ((first != NEVER) & (first > step - shards)).any():
         if step >= NEVER:
-            raise ValueError("more scans than longest * shards can need")
+            raise ValueError("more scans than the table of slots can number")
         table = spark.sparkContext.broadcast(zlib.compress(first.tobytes(), 1))
         found = counted(dealt[step % shards], table, step, shards, longest, chunk)
-        if running is not None:
-            found = found.unionByName(running)
-        totals = staged(found.groupBy("lang", "phrase", "size", "start").agg(F.sum("n").alias("n")), "phrase-totals")
-        full = F.col("start") == step - shards + 1
-        complete = totals.filter(full & ((F.col("n") >= threshold) | (F.col("size") == ALL_WORDS))).select("lang", "phrase", "size", "n")
-        done = complete if done is None else done.unionByName(complete)
-        running = totals.filter(F.col("start") > step - shards + 1)
-        first[newly_reached(totals, threshold, longest, n_slots) & (first == NEVER)] = step + 1
+        scans.append(staged(found.groupBy("lang", "phrase", "size", "start").agg(F.sum("n").alias("n")), "phrase-scan"))
+        scans, oldest = scans[-shards:], step - shards + 1
+        enough = staged(reached(scans, max(oldest, 0), threshold), "phrases-reached")
+        complete.append(enough.filter(F.col("start") == oldest).select("lang", "phrase", "size", "n"))
+        first[slots_of(enough.filter(F.col("size").between(1, longest - 1)), n_slots) & (first == NEVER)] = step + 1
         step += 1
+    done = complete[0]
+    for other in complete[1:]:
+        done = done.unionByName(other)
     return staged(done, "phrase-counts")
 
 
