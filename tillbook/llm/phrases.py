@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import among
 from tillbook.operators.staging import staged
 
 UNKNOWN = "und"
@@ -33,6 +32,8 @@ CHUNK = 12_000_000
 SLOTS = 1 << 24
 NEVER = 255
 PARTITIONS = 64
+# Bits of the bitmap that tells phrases apart that may reach the threshold.
+SPOTS = 1 << 24
 
 # Every byte that ends a piece becomes BREAK, which UTF-8 never holds; tabs become spaces.
 BREAK = b"\xff"
@@ -196,18 +197,22 @@ def reached(scans: list[DataFrame], oldest: int, threshold: int) -> DataFrame:
     """``lang, phrase, size, start, n``: phrases with ``threshold`` occurrences in the given
     scans, of those that started in scan ``oldest`` or later.
 
-    A phrase that reaches it has its share of that in some scan, so that only phrases with
-    so many in one are added up; the others, most of all, are not shuffled again.
+    A phrase that reaches it has its share of that in some scan. Phrases with so many there
+    set bits of a bitmap of SPOTS, which is broadcast: a quarter of a million numbers at
+    most. Only phrases that meet a set bit are shuffled and added up; with far more
+    phrases than bits all are, and results are the same.
     """
     rows = scans[0]
     for other in scans[1:]:
         rows = rows.unionByName(other)
-    rows = rows.filter(F.col("start") >= oldest).withColumnsRenamed({"lang": "id", "phrase": "fp"})
-    enough = F.col("n") >= -(-threshold // len(scans))
-    keys = rows.filter(enough | (F.col("size") == ALL_WORDS)).select("id", "fp").distinct()
-    held = among(rows, keys) if len(scans) > 1 else rows.filter(enough | (F.col("size") == ALL_WORDS))
-    totals = held.groupBy(F.col("id").alias("lang"), F.col("fp").alias("phrase"), "size", "start").agg(F.sum("n").alias("n"))
-    return totals.filter((F.col("n") >= threshold) | (F.col("size") == ALL_WORDS))
+    rows = rows.filter(F.col("start") >= oldest)
+    spot = F.pmod(F.xxhash64("lang", "phrase"), F.lit(SPOTS))
+    number, bit = F.shiftright(spot, 6), (spot % 64).cast("int")
+    bits = rows.filter(F.col("n") >= -(-threshold // len(scans))).select(number.alias("number"), bit.alias("bit"))
+    bits = bits.groupBy("number").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    held = rows.withColumns({"number": number, "bit": bit}).join(F.broadcast(bits), "number").filter("getbit(bits, bit) = 1")
+    totals = held.groupBy("lang", "phrase", "size", "start").agg(F.sum("n").alias("n"))
+    return totals.filter(F.col("n") >= threshold)
 
 
 def phrase_counts(
@@ -230,7 +235,9 @@ def phrase_counts(
             raise ValueError("more scans than the table of slots can number")
         table = spark.sparkContext.broadcast(zlib.compress(first.tobytes(), 1))
         found = counted(dealt[step % shards], table, step, shards, longest, chunk)
-        scans.append(staged(found.groupBy("lang", "phrase", "size", "start").agg(F.sum("n").alias("n")), "phrase-scan"))
+        # In order of their counts, so that a look at the frequent ones skips the others' pages.
+        found = found.groupBy("lang", "phrase", "size", "start").agg(F.sum("n").alias("n")).sortWithinPartitions(F.desc("n"))
+        scans.append(staged(found, "phrase-scan"))
         scans, oldest = scans[-shards:], step - shards + 1
         enough = staged(reached(scans, max(oldest, 0), threshold), "phrases-reached")
         complete.append(enough.filter(F.col("start") == oldest).select("lang", "phrase", "size", "n"))
