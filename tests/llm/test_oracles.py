@@ -16,4 +16,4 @@ def test_query_equals_sql(spark, name, sf):
 
 def test_every_operator_is_registered_once():
     names = [n for n in contract.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11), 12, 13] and "pipeline" in contract.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in contract.queries()

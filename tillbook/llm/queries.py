@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tillbook.llm import chat, decontamination, html_text, language, mixing, near_duplicates, phrases, quality, repeats, secrets, spelling, token_counts
+from tillbook.llm import chat, decontamination, html_text, language, mixing, near_duplicates, personal_data
+from tillbook.llm import phrases, quality, repeats, secrets, spelling, token_counts
 from tillbook.llm.common import table
 from tillbook.llm.oracles import ORACLES as ORACLES
 
@@ -52,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,8 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_secrets, op4_language, op5_html_text, op6_repeats, op7_near_duplicates, op8_token_counts, op9_chat, op10_quality, op12_phrases, op13_spelling)
-} | {"pipeline": corpus_pipeline.run}
+OPERATORS = (
+    op1_mixing, op2_decontamination, op3_secrets, op4_language, op5_html_text, op6_repeats, op7_near_duplicates, op8_token_counts,
+    op9_chat, op10_quality, op11_personal_data, op12_phrases, op13_spelling,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
