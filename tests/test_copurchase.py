@@ -8,7 +8,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import plan_of, rows
+from tillbook.operators import copurchase
 from tillbook.operators.copurchase import pairs_bought_together, partners_per_product
 
 
@@ -105,3 +106,54 @@ def test_no_job_runs_while_a_plan_is_made(spark):
     names = spark.createDataFrame([(2, "n")], "product_id long, product_name string")
     pairs_bought_together(broken, names, 2)
     partners_per_product(broken)
+
+
+def _orders(spark, seed: int, orders: int, products: int, size: int, step: int = 1):
+    rng = random.Random(seed)
+    lines = [(o, p * step, Decimal("1.00")) for o in range(orders) for p in rng.sample(range(products), size)]
+    return spark.createDataFrame(lines, "order_id long, product_id long, subtotal decimal(12,2)").repartition(4)
+
+
+@pytest.mark.parametrize("buckets", [1 << 20, 1 << 10, 64, 1])
+def test_counts_do_not_depend_on_the_buckets(spark, buckets):
+    lines, names = _lines(4), _names()
+    got = pairs_bought_together(
+        spark.createDataFrame(lines, "order_id long, product_id long, subtotal decimal(12,2)"),
+        spark.createDataFrame(names, "product_id long, product_name string"), 4, 5, buckets,
+    )
+    found = {(r["product_1"], r["product_2"]): (r["orders"], r["combined"] or 0, r["priced_pairs"] or 0) for r in rows(got)}
+    assert found == _expected_pairs(lines, names, 4) and found
+
+
+def test_rare_pairs_are_not_shuffled(spark):
+    """Of some 60,000 pairs, nearly all of them in one order, those of two names in many orders are left."""
+    rare = _orders(spark, 1, 1_000, 50_000, 11)
+    often = spark.range(50).selectExpr("10000 + id as order_id", "explode(array(3L, 8L)) as product_id", "cast(1 as decimal(12,2)) as subtotal")
+    lines = rare.unionByName(often)
+    names = lines.select("product_id").distinct().withColumn("product_name", F.concat(F.lit("p"), "product_id"))
+    pairs = copurchase._pairs(copurchase._units(copurchase._baskets(lines, names), 256))
+    made, kept = pairs.count(), copurchase.frequent_pairs(pairs, 3).count()
+    assert made >= 55_000 and 50 <= kept <= 0.01 * made
+
+
+def test_units_are_shuffled_once_for_both_passes(spark):
+    lines = _orders(spark, 2, 200, 40, 4)
+    names = lines.select("product_id").distinct().withColumn("product_name", F.concat(F.lit("p"), "product_id"))
+    assert "ReusedExchange" in plan_of(pairs_bought_together(lines, names, 3))
+
+
+@pytest.mark.parametrize("step", [1, 1_000_003])
+def test_partners_are_words_of_bitmaps(spark, step):
+    """Whatever the raw ids and however often pairs recur, a product has one row per range of numbers."""
+    items = _orders(spark, 3, 600, 256, 30, step)
+    numbers = items.select("product_id").distinct().coalesce(1).sortWithinPartitions("product_id")
+    numbers = numbers.select("product_id", F.monotonically_increasing_id().alias("number"))
+    units = copurchase._units(items.select("order_id", "product_id").join(numbers, "product_id"), 256)
+    words = copurchase.partner_words(units)
+    assert words.count() <= 256 * 256 // copurchase.WORD
+    assert words.agg(F.sum(F.bit_count("bits"))).first()[0] == sum(r["recommendations"] for r in rows(partners_per_product(items)))
+
+
+def test_orders_and_products_that_are_null(spark):
+    items = spark.createDataFrame([(None, 1), (None, 2), (1, None), (1, 3), (1, 4)], "order_id long, product_id long")
+    assert {r["product_id"]: r["recommendations"] for r in rows(partners_per_product(items))} == {None: 0, 1: 0, 2: 0, 3: 1, 4: 1}

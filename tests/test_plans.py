@@ -28,8 +28,10 @@ def test_no_cartesian_products(plans):
     assert [name for name, plan in plans.items() if "CartesianProduct" in plan or "NestedLoopJoin" in plan] == []
 
 
-def test_only_shown_rows_are_broadcast(plans):
-    assert {name for name, plan in plans.items() if "BroadcastHashJoin" in plan} <= {"customer_data", "full_table_scan"}
+def test_only_shown_rows_and_bitmaps_of_fixed_size_are_broadcast(plans):
+    """The affinity report broadcasts the bitmap of its pair buckets, whatever the input holds."""
+    assert {name for name, plan in plans.items() if "BroadcastHashJoin" in plan} <= {"customer_data", "full_table_scan", "product_affinity"}
+    assert plans["product_affinity"].count("BroadcastHashJoin") == 1
 
 
 def _below_single_partition(plan: str) -> list[str]:
