@@ -50,7 +50,7 @@ def _stream_sales_summary(t: Testbed) -> DataFrame:
 def _stream_session_activity(t: Testbed) -> DataFrame:
     folder = _job_folder(t, "activity")
     activity.start(t.event_stream(), folder).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/sessions")
+    return activity.all_sessions(t.spark, folder)
 
 
 def _written(t: Testbed) -> DataFrame:

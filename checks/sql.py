@@ -713,9 +713,9 @@ _SOURCES = {
         WITH marked AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh
                         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM marked)
-        SELECT user_id AS customer_id, min(ts) AS login_time, max(ts) AS last_activity, count(*) AS events
-        FROM numbered GROUP BY user_id, n
-        HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+        SELECT user_id AS customer_id, min(ts) AS login_time, max(ts) AS last_activity, count(*) AS events,
+               CASE WHEN max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) THEN 0 ELSE 1 END::BIGINT AS is_active
+        FROM numbered GROUP BY user_id, n""",
 }
 
 ORACLES: dict[str, str] = {

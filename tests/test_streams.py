@@ -1,5 +1,6 @@
 """Streams give what the batch jobs give on the same rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -139,3 +140,23 @@ def test_streamed_sessions_equal_batch_and_late_events_are_dropped(spark, tmp_pa
     )
     got = spark.read.parquet(str(tmp_path / "out" / "sessions"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_finished_and_open_sessions_equal_batch_after_every_run(spark, tmp_path):
+    """Users come and go over several runs; a session that goes on is open, then finished, never both."""
+    source, out = tmp_path / "events", str(tmp_path / "out")
+    rng, seen, states = random.Random(3), [], []
+    for run in range(4):
+        fresh = [(rng.randint(1, 9), T0 + run * 6 * HOUR + timedelta(minutes=rng.randint(0, 360))) for _ in range(60)]
+        fresh.append((1, T0 + run * 6 * HOUR + timedelta(minutes=360)))
+        seen += fresh
+        spark.createDataFrame(fresh, "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("user_id long, ts timestamp").parquet(str(source))
+        activity.start(stream, out).awaitTermination()
+        found = activity.all_sessions(spark, out)
+        want = activity.sessions(spark.createDataFrame(seen, "user_id long, ts timestamp"))
+        border = max(ts for _, ts in seen) - HOUR
+        expected = [(*r, int(r.last_activity + HOUR > border)) for r in want.collect()]
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+        states.append(sum(active for *_, active in expected))
+    assert all(states) and max(states) < 15

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,3 +40,25 @@ def start(events: DataFrame, folder: str, watermark: str = "1 hour") -> Streamin
         .trigger(availableNow=True)
         .start()
     )
+
+
+def all_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished and open sessions after the last run of :func:`start`, told apart by
+    ``is_active``; together they equal :func:`sessions` of all events taken in.
+
+    To be read between runs: one that broke off is completed by the next.
+    """
+    finished = spark.read.parquet(f"{folder}/sessions").withColumn("is_active", F.lit(0))
+    return finished.unionByName(open_sessions(spark, folder).withColumn("is_active", F.lit(1)))
+
+
+def open_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions that may still go on, straight from the state of the last batch: their
+    number depends on the watermark, not on how many events have passed."""
+    state = spark.read.format("statestore").load(f"{folder}/progress")
+    return state.select(
+        F.col("value.user_id").alias("customer_id"),
+        F.col("value.min").alias("login_time"),
+        F.col("value.max").alias("last_activity"),
+        F.col("value.count").alias("events"),
+    )
