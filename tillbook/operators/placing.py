@@ -20,6 +20,11 @@ def descending(value: Column) -> Column:
     return F.struct(-value)
 
 
+def falling(value: Column) -> Column:
+    """Sort key of money in descending order, NULL first, as a whole number of cents."""
+    return F.coalesce(-(value * 100).cast("long"), F.lit(-(2**63)))
+
+
 def newest_first(ts: Column, *ties: Column) -> Column:
     return F.struct((-F.unix_micros(ts)).alias("newest"), *ties)
 
@@ -53,14 +58,24 @@ def _counted(rows: DataFrame, limit: int, *group: str) -> DataFrame:
 
 
 def _searched(rows: DataFrame, limit: int) -> DataFrame:
-    """Add ``slot``, the number of sorted ``marks`` not after ``key``: a binary
-    search by halving strides. One projection per step keeps it in generated code."""
-    rows = rows.withColumn("slot", F.lit(0))
-    for bit in reversed(range(max(limit, 1).bit_length())):
-        stride = 1 << bit
-        passed = F.get("marks", F.col("slot") + (stride - 1)) <= F.col("key")
-        rows = rows.withColumn("slot", F.when(passed, F.col("slot") + stride).otherwise(F.col("slot")))
-    return rows
+    """Add ``slot``, the number of sorted ``marks`` not after ``key``."""
+    return with_slots(rows, {"slot": ("marks", "key")}, limit)
+
+
+def with_slots(rows: DataFrame, slots: dict[str, tuple[str, str]], limit: int) -> DataFrame:
+    """Add for each name of ``slots`` the number of its sorted marks, at most ``limit``, that
+    are not after its key: binary searches by halving strides. Written as a fold over the
+    strides, since spelt out, several searches make more code than the JVM compiles. Rows
+    whose marks are NULL get 0."""
+    strides = F.array(*(F.lit(1 << bit) for bit in reversed(range(max(limit, 1).bit_length()))))
+
+    def search(marks: str, key: str) -> Column:
+        def step(slot: Column, stride: Column) -> Column:
+            return F.when(F.get(marks, slot + stride - 1) <= F.col(key), slot + stride).otherwise(slot)
+
+        return F.aggregate(strides, F.lit(0), step)
+
+    return rows.withColumns({slot: search(marks, key) for slot, (marks, key) in slots.items()})
 
 
 def _running(slots: DataFrame, counted: DataFrame, *group: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions.dates import days_before, months_since, padded_weekday, shift_months
 from tillbook.functions.numbers import COUNT, known, ratio, rounded, weighted
-from tillbook.operators.placing import descending, newest_first, rows_ahead, rows_ahead_overall
+from tillbook.operators.placing import falling, newest_first, with_slots
 from tillbook.operators.shaping import bounded, full_name, lines_per_order, of_orders, since, top
 from tillbook.operators.staging import staged
 
@@ -165,7 +165,8 @@ def customer_data(
     """First rows of the six-table detail, with totals and ranks over all of it.
 
     One row per order line is staged with the number of detail rows it stands
-    for (stock rows times transactions). Totals weigh the lines by that number,
+    for (stock rows times transactions), and read three times: for the lines to
+    show, for all totals and for all ranks. Totals weigh the lines by that number,
     ranks count the lines ahead of the shown ones, and only the shown lines are
     widened to full detail.
     """
@@ -175,14 +176,14 @@ def customer_data(
         F.asc("order_id"), F.asc("order_item_id"),
     )
     # Every line stands for at least one detail row, so the first lines suffice.
-    picked = staged(top(lines, limit, *line_order), "picked")
+    picked = staged(_seated(top(lines, limit, *line_order)), "picked")
     detail_order = (*line_order, F.asc_nulls_last("inventory_id"), F.asc_nulls_last("transaction_id"))
     detail = _detail(bounded(picked, limit), customers, orders, products, inventory, transactions)
-    shown = staged(top(detail, limit, *detail_order), "shown")
-    shown = _with_totals(shown, lines, picked, limit)
-    shown = _with_ranks(shown, lines, picked, limit)
-    derived = _derived(shown, as_of).orderBy(*detail_order)
-    return derived.drop("created_at", *(c for c in derived.columns if c.endswith(("_of", "_key"))))
+    seats = bounded(_seats(picked), limit)
+    shown = top(detail, limit, *detail_order)
+    for facts in (_totals(lines, picked, seats, limit), _ranks(lines, picked, seats, limit)):
+        shown = shown.join(bounded(facts, limit), "order_item_id")
+    return _derived(shown, as_of).orderBy(*detail_order).drop("created_at")
 
 
 def _weighed_lines(customers, orders, items, products, inventory, transactions, as_of, months) -> DataFrame:
@@ -232,82 +233,141 @@ def _detail(picked, customers, orders, products, inventory, transactions) -> Dat
     )
 
 
-def _with_totals(shown: DataFrame, lines: DataFrame, picked: DataFrame, limit: int) -> DataFrame:
+# Groups over which the report totals; in the first three, and among the order values of all
+# lines, it ranks as well. A group is known by its first shown line.
+_GROUPS = ("customer_id", "category", "state", "manufacturer")
+_RANKED = _GROUPS[:3]
+
+
+def _rank_keys() -> dict[str, Column]:
+    return {
+        "customer_id": -F.unix_micros("order_date"),
+        "category": falling(F.col("subtotal")),
+        "state": newest_first(F.col("order_date"), F.col("order_id"), F.col("order_item_id")),
+        "value": falling(F.col("total_amount")),
+    }
+
+
+def _seated(picked: DataFrame) -> DataFrame:
+    """The shown lines with the first line of each of their groups, the sorted keys of all shown
+    lines of ranked groups and their own place among those; windows over shown lines only."""
+    added = {}
+    for name in _GROUPS:
+        group = Window.partitionBy(name)
+        added[f"{name}_first"] = F.min("order_item_id").over(group)
+        if name in _RANKED:
+            key = _rank_keys()[name]
+            added[f"{name}_marks"] = F.array_sort(F.collect_set(key).over(group))
+            added[f"{name}_seat"] = F.dense_rank().over(group.orderBy(key))
+    return picked.withColumns(added)
+
+
+def _grouped(rows: DataFrame, picked: DataFrame, names: tuple[str, ...], limit: int, *carried: str) -> DataFrame:
+    """``rows`` with what is known of the groups of shown lines that they belong to."""
+    for name in names:
+        some = picked.filter(F.col("order_item_id") == F.col(f"{name}_first"))
+        some = some.select(F.col(name).alias("of"), f"{name}_first", *(f"{name}_{c}" for c in carried))
+        same = F.col(name) == F.col("of") if name == "customer_id" else F.col(name).eqNullSafe(F.col("of"))
+        rows = rows.join(bounded(some, limit), same, "left").drop("of")
+    return rows
+
+
+def _value_marks(picked: DataFrame) -> Column:
+    return picked.agg(F.array_sort(F.collect_set(_rank_keys()["value"]))).scalar()
+
+
+def _seats(picked: DataFrame) -> DataFrame:
+    """``order_item_id, kind, first, seat``: the groups of each shown line and its place there."""
+    rows = picked.withColumn("value_first", F.lit(0).cast("long")).withColumn("manufacturer_seat", F.lit(0))
+    rows = rows.withColumn("value_seat", F.array_position(_value_marks(picked), _rank_keys()["value"]).cast("int"))
+    kinds = [_kind(name, F.col(f"{name}_first")).withField("seat", F.col(f"{name}_seat")) for name in (*_GROUPS, "value")]
+    return rows.select("order_item_id", F.inline(F.array(*kinds)))
+
+
+def _kind(name: str, first: Column) -> Column:
+    return F.struct(F.lit(name).alias("kind"), first.alias("first"))
+
+
+def _totals(lines: DataFrame, picked: DataFrame, seats: DataFrame, limit: int) -> DataFrame:
+    """Totals of the customer, category, state and manufacturer of each shown line.
+
+    One scan adds lines up per cell, that is category, state, manufacturer and shown
+    customer, if it is one; the totals then add up cells.
+    """
     weight = F.col("weight")
 
-    def total(column: str):
+    def total(column: str) -> Column:
         return F.sum(weighted(F.col(column), weight))
 
-    def mean(column: str):
-        return ratio(total(column), F.sum(known(F.col(column), weight)), 6)
-
-    buyers = bounded(picked.select("customer_id").distinct(), limit)
-    per_customer = (
-        lines.join(buyers, "customer_id", "left_semi")
-        .groupBy("customer_id")
-        .agg(
-            F.sum(weight).alias("customer_total_orders"),
-            total("total_amount").alias("customer_lifetime_value"),
-            mean("total_amount").alias("customer_avg_order"),
-            F.max("order_date").alias("customer_last_order_date"),
-        )
-    )
-    # One scan gives the sums per category, state and manufacturer together, which the
-    # three totals then add up.
-    cells = lines.groupBy("category", "state", "manufacturer").agg(
+    cells = _grouped(lines, picked, _GROUPS[:1], limit).groupBy("category", "state", "manufacturer", "customer_id_first").agg(
         F.sum(weight).alias("copies"),
         total("subtotal").alias("revenue"),
         total("unit_price").alias("prices"),
         F.sum(known(F.col("unit_price"), weight)).alias("priced"),
-        total("total_amount").alias("totals"),
+        total("total_amount").alias("values"),
+        F.sum(known(F.col("total_amount"), weight)).alias("valued"),
         F.sum(F.col("quantity") * weight).alias("units"),
+        F.max("order_date").alias("newest"),
     )
-    cells = staged(cells, "cells")
-    per_category = cells.groupBy("category").agg(
-        F.sum("copies").alias("category_order_count"),
-        F.sum("revenue").alias("category_revenue"),
-        ratio(F.sum("prices"), F.sum("priced"), 6).alias("category_avg_price"),
-    )
-    per_state = cells.groupBy("state").agg(
-        F.sum("copies").alias("state_order_count"), F.sum("totals").alias("state_total_revenue")
-    )
-    per_manufacturer = cells.groupBy("manufacturer").agg(
-        F.sum("copies").alias("manufacturer_order_count"), F.sum("units").alias("manufacturer_units_sold")
+    sums = ("copies", "revenue", "prices", "priced", "values", "valued", "units")
+    kinds = [_kind(name, F.col(f"{name}_first")) for name in _GROUPS]
+    sorts = _grouped(cells, picked, _GROUPS[1:], limit).select(*sums, "newest", F.inline(F.array(*kinds))).filter("first is not null")
+    totals = sorts.groupBy("kind", "first").agg(*(F.sum(c).alias(c) for c in sums), F.max("newest").alias("newest"))
+    held = totals.join(seats, ["kind", "first"])
+
+    def of(kind: str, value):
+        return F.max(F.when(F.col("kind") == kind, value))
+
+    return held.groupBy("order_item_id").agg(
+        of("customer_id", F.col("copies")).alias("customer_total_orders"),
+        of("customer_id", F.col("values")).alias("customer_lifetime_value"),
+        of("customer_id", ratio(F.col("values"), F.col("valued"), 6)).alias("customer_avg_order"),
+        of("customer_id", F.col("newest")).alias("customer_last_order_date"),
+        of("category", F.col("copies")).alias("category_order_count"),
+        of("category", F.col("revenue")).alias("category_revenue"),
+        of("category", ratio(F.col("prices"), F.col("priced"), 6)).alias("category_avg_price"),
+        of("state", F.col("copies")).alias("state_order_count"),
+        of("state", F.col("values")).alias("state_total_revenue"),
+        of("manufacturer", F.col("copies")).alias("manufacturer_order_count"),
+        of("manufacturer", F.col("units")).alias("manufacturer_units_sold"),
     )
-    shown = shown.join(per_customer, "customer_id")
-    for key, totals in (("category", per_category), ("state", per_state), ("manufacturer", per_manufacturer)):
-        totals = totals.withColumnRenamed(key, f"{key}_of")
-        shown = shown.join(totals, F.col(key).eqNullSafe(F.col(f"{key}_of")), "left")
-    return shown
 
 
-def _with_ranks(shown: DataFrame, lines: DataFrame, picked: DataFrame, limit: int) -> DataFrame:
-    placed = F.col("order_date")
-    by_place = newest_first(placed, F.col("order_id"), F.col("order_item_id"))
-    places = {
-        "customer_order_rank": ("customer_id", newest_first(placed)),
-        "category_revenue_rank": ("category", descending(F.col("subtotal"))),
-        "state_order_sequence": ("state", by_place),
-    }
-    for name, (group, key) in places.items():
-        rows = lines
-        if group == "customer_id":
-            rows = lines.join(bounded(picked.select(group).distinct(), limit), group, "left_semi")
-        rows = rows.select(F.col(group).alias("group"), key.alias("key"), "weight")
-        ahead = rows_ahead(rows, picked.select(F.col(group).alias("group"), key.alias("key")), limit)
-        ahead = _as_rank(ahead.withColumnRenamed("group", f"{name}_of"), name)
-        same = F.col(group).eqNullSafe(F.col(f"{name}_of")) & (key == F.col(f"{name}_key"))
-        shown = shown.join(bounded(ahead, limit), same, "left")
-    # A dense rank counts each value once.
-    name, key = "overall_order_value_rank", descending(F.col("total_amount"))
-    values = lines.select(key.alias("key")).distinct().withColumn("weight", F.lit(1).cast("long"))
-    ahead = _as_rank(rows_ahead_overall(values, picked.select(key.alias("key")), limit), name)
-    shown = shown.join(bounded(ahead, limit), key == F.col(f"{name}_key"), "left")
-    return shown
-
-
-def _as_rank(ahead: DataFrame, name: str) -> DataFrame:
-    return ahead.withColumn(name, F.col("ahead") + 1).withColumnRenamed("key", f"{name}_key").drop("ahead")
+def _ranks(lines: DataFrame, picked: DataFrame, seats: DataFrame, limit: int) -> DataFrame:
+    """Ranks of each shown line: one more than what lies ahead of it.
+
+    One scan finds the place of every line among the shown ones of each of its groups, and
+    adds up by place; the order values, of which each counts once, go along.
+    """
+    keys = _rank_keys()
+    rows = lines.select(*_RANKED, "order_date", "subtotal", "order_id", "order_item_id", "total_amount", "weight")
+    rows = _grouped(rows, picked, _RANKED, limit, "marks").withColumn("value_marks", _value_marks(picked))
+    rows = rows.withColumns({f"{name}_key": key for name, key in keys.items()})
+    rows = with_slots(rows, {f"{name}_slot": (f"{name}_marks", f"{name}_key") for name in keys}, limit)
+
+    def place(name: str, first: Column, value: Column) -> Column:
+        inside = F.col(f"{name}_slot") < F.size(f"{name}_marks")
+        return F.struct(
+            F.lit(name).alias("kind"), F.when(inside, first).alias("first"), F.col(f"{name}_slot").alias("slot"), value.alias("value")
+        )
+
+    once, no_value = F.lit(0).cast("long"), F.lit(None).cast(lines.schema["total_amount"].dataType)
+    places = [place(name, F.col(f"{name}_first"), no_value) for name in _RANKED] + [place("value", once, F.col("total_amount"))]
+    by_value = rows.select("weight", F.inline(F.array(*places))).filter("first is not null").groupBy("kind", "first", "slot", "value")
+    ahead = by_value.agg(F.sum("weight").alias("weight")).groupBy("kind", "first", "slot")
+    ahead = ahead.agg(F.sum(F.when(F.col("kind") == "value", F.lit(1)).otherwise(F.col("weight"))).alias("weight"))
+    # Lines with as many marks behind them as a shown line's place, counted from 1, are not ahead.
+    counted = seats.join(ahead, (seats["kind"] == ahead["kind"]) & (seats["first"] == ahead["first"]) & (ahead["slot"] < seats["seat"]), "left")
+
+    def rank(kind: str):
+        return F.coalesce(F.sum(F.when(seats["kind"] == kind, F.col("weight"))), F.lit(0)) + 1
+
+    return counted.groupBy("order_item_id").agg(
+        rank("customer_id").alias("customer_order_rank"),
+        rank("category").alias("category_revenue_rank"),
+        rank("state").alias("state_order_sequence"),
+        rank("value").alias("overall_order_value_rank"),
+    )
 
 
 def _derived(shown: DataFrame, as_of: datetime) -> DataFrame:
