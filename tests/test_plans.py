@@ -79,10 +79,19 @@ def test_detail_reads_its_lines_once_for_totals_and_once_for_ranks(plans):
 
 
 def test_growth_and_retention_do_without_self_joins(plans):
-    assert plans["customer_retention"].count("Join") == 0
+    assert plans["customer_retention"].count("Join") == 0 and "Window" not in plans["customer_retention"]
     assert plans["product_revenue_growth"].count("Join") == 2  # orders and product names
 
 
+def test_buyers_are_shuffled_once(plans):
+    """One row per buyer; whatever else is shuffled has been added up per month or altogether."""
+    for name in ("customer_retention", "customer_cohort"):
+        keys = re.findall(r"Exchange (\w+)(?:\((\w+))?", plans[name])
+        assert sum(kind == "hashpartitioning" and key == "customer_id" for kind, key in keys) == 1, name
+        assert "SortMergeJoin" not in plans[name]
+    assert plans["customer_cohort"].count("Exchange") == 2
+
+
 def test_no_python_in_any_plan(plans):
     assert [name for name, plan in plans.items() if "Python" in plan or "ArrowEval" in plan] == []
 

@@ -1,5 +1,7 @@
 """Hand-worked cases for the reports: borders, fan-out, nulls, ties, gaps."""
 
+import random
+from collections import defaultdict
 from datetime import datetime
 from decimal import Decimal
 
@@ -379,3 +381,25 @@ def test_detail_equals_plain_windows(spark, limit):
     ).filter(F.col("n") <= limit).drop("n")
     want = sorted(map(tuple, ranked.collect()), key=repr)
     assert sorted(map(tuple, got.select(*ranked.columns).collect()), key=repr) == want
+
+
+def test_retention_over_more_months_than_a_word_holds(spark):
+    """Buyers by month over twelve years, against sets of months."""
+    rng, as_of = random.Random(4), datetime(2001, 7, 31, 12)
+    seen = {(rng.randint(1, 25), rng.randrange(150)) for _ in range(1200)}
+    moments = [(c, datetime(1989 + (m + 7) // 12, (m + 7) % 12 + 1, rng.randint(2, 27), 13)) for c, m in seen]
+    orders = spark.createDataFrame([(i, c, at) for i, (c, at) in enumerate(moments * 2)], "order_id long, customer_id long, order_date timestamp")
+    got = {r["month"]: (r["customers_this_month"], r["customers_next_month"]) for r in rows(customers.retention(orders, as_of, 144))}
+    held = defaultdict(set)
+    for c, at in moments:
+        held[at.year * 12 + at.month - 1].add(c)
+    border = 1989 * 12 + 6
+    want = {f"{m // 12}-{m % 12 + 1:02d}": (len(some), len(some & held.get(m + 1, set()))) for m, some in held.items() if m >= border}
+    assert got == want and len(got) > 140
+
+
+def test_cohort_of_unregistered_and_unknown_customers(spark, table):
+    orders = table("orders", [_order(1, 1, "2001-07-01"), _order(2, 2, "1999-07-01"), _order(3, 9, "1999-07-01"), _order(4, 8, "2001-07-01")])
+    buyers = table("customers", [{"customer_id": c, "created_at": at} for c, at in ((1, "2001-07-20"), (2, "1999-01-01"), (3, "2001-07-30"))])
+    found = only(procedures.customer_cohort(buyers, orders, datetime(2001, 7, 31, 12)))
+    assert found == {"active_customers": 2, "churned_customers": 1, "new_customers": 2}

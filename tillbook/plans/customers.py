@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.dates import month_key, months_since, shift_months
+from tillbook.functions.dates import day_literal, month_key, month_start, months_since, shift_months
 from tillbook.functions.numbers import known, ratio, rounded, weighted, zero_if_null
 from tillbook.operators.shaping import full_name, lines_per_order, since, top
 from tillbook.schema import SETTLED
 
+# Months of one word of a buyer's bitmap; its last bit is the next word's first month.
+WORD_MONTHS = 62
+
 
 def _per_customer(orders: DataFrame) -> DataFrame:
     return orders.groupBy("customer_id").agg(
@@ -83,25 +86,35 @@ def lifetime_value(customers: DataFrame, orders: DataFrame, as_of: datetime, lim
 def retention(orders: DataFrame, as_of: datetime, months: int = 12) -> DataFrame:
     """Per month: buyers, and how many of them bought in the next month too.
 
-    The next month is looked up with ``lead`` over a buyer's distinct months
-    (at most ``months + 1`` rows each) instead of a self join.
+    A buyer's months are bits of a word, or-ed on the map side, so that one row per buyer
+    is shuffled; shifted by one, the word tells who came back.
     """
+    first = shift_months(as_of, -months)
+    recent = since(orders, "order_date", first)
+    month = (F.year("order_date") - first.year) * 12 + F.month("order_date") - first.month
+    # Words overlap by one month, so that the next one is always at hand.
+    word = F.floor(F.col("month") / WORD_MONTHS)
+    words = F.when((F.col("month") > 0) & (F.col("month") % WORD_MONTHS == 0), F.array(word, word - 1)).otherwise(F.array(word))
+    bit = F.expr(f"shiftleft(1L, cast(month - word * {WORD_MONTHS} as int))")
     active = (
-        since(orders, "order_date", shift_months(as_of, -months))
-        .select(F.to_date(F.date_trunc("month", "order_date")).alias("start"), "customer_id")
-        .distinct()
+        recent.select("customer_id", month.alias("month"))
+        .select("customer_id", "month", F.explode(words).alias("word"))
+        .groupBy("customer_id", "word")
+        .agg(F.bit_or(bit).alias("bits"))
     )
-    following = F.lead("start").over(Window.partitionBy("customer_id").orderBy("start"))
-    came_back = F.coalesce(following == F.add_months("start", 1), F.lit(False))
-    buyers, returned = F.count("customer_id"), F.count_if("came_back")
+    held, next_held = (F.expr(f"shiftright(bits, place + {n}) & 1L").alias(name) for n, name in ((0, "held"), (1, "next_held")))
+    places = active.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(WORD_MONTHS - 1))))
+    bought = places.select("customer_id", "word", "place", held, next_held).filter("held = 1")
+    start = F.add_months(day_literal(month_start(first)), (F.col("word") * WORD_MONTHS + F.col("place")).cast("int"))
+    buyers, returned = F.count("customer_id"), F.sum("next_held")
     return (
-        active.withColumn("came_back", came_back)
-        .groupBy(month_key(F.col("start")).alias("month"))
+        bought.groupBy("word", "place")
         .agg(
             buyers.alias("customers_this_month"),
             returned.alias("customers_next_month"),
             ratio(returned, buyers, 2, 100).alias("retention_rate"),
         )
+        .select(month_key(start).alias("month"), "customers_this_month", "customers_next_month", "retention_rate")
         .orderBy(F.desc("month"))
     )
 

@@ -32,19 +32,26 @@ def sales_trend(orders: DataFrame, as_of: datetime, days_back: int = 30) -> Data
 def customer_cohort(customers: DataFrame, orders: DataFrame, as_of: datetime, months_back: int = 6) -> DataFrame:
     """Active, churned and new customers.
 
-    Whether a customer bought at all and bought lately both follow from the
-    latest order, so one aggregate stands in for the two existence tests.
+    Whether a customer bought at all and bought lately both follow from the latest order.
+    Orders and customers are brought together by one aggregate per customer, collapsed on
+    the map side, which stands in for both existence tests and for a join.
     """
     cutoff = stamp(shift_months(midnight(as_of), -months_back))
-    latest = orders.groupBy("customer_id").agg(F.max("order_date").alias("latest"))
-    registered = customers.select("customer_id", F.lit(True).alias("registered"))
+    joined = stamp(shift_months(midnight(as_of), -1))
+    placed = orders.select("customer_id", F.col("order_date").alias("latest"), F.lit(1).alias("bought"))
+    registered = customers.select("customer_id", F.lit(1).alias("registered"), (F.col("created_at") >= joined).cast("int").alias("new"))
+    known = (
+        placed.unionByName(registered, allowMissingColumns=True)
+        .groupBy("customer_id")
+        .agg(*(F.max(c).alias(c) for c in ("latest", "bought", "registered")), F.sum("new").alias("new"))
+    )
     active = F.coalesce(F.col("latest") >= cutoff, F.lit(False))
-    bought = latest.join(registered, "customer_id", "left").agg(
+    churned = ~active & F.col("bought").isNotNull() & F.col("registered").isNotNull() & F.col("customer_id").isNotNull()
+    return known.agg(
         F.count_if(active).alias("active_customers"),
-        F.count_if(~active & F.col("registered").isNotNull()).alias("churned_customers"),
+        F.count_if(churned).alias("churned_customers"),
+        F.coalesce(F.sum("new"), F.lit(0)).alias("new_customers"),
     )
-    joined = since(customers, "created_at", shift_months(midnight(as_of), -1)).agg(F.count(F.lit(1)))
-    return bought.withColumn("new_customers", joined.scalar())
 
 
 def product_recommendation(items: DataFrame, product_id: int | None = None) -> DataFrame:
