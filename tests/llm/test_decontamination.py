@@ -75,3 +75,14 @@ def test_long_items_are_cut_into_pieces(spark):
     docs = spark.createDataFrame([(1, "x " + text), (2, " ".join(text.split()[4090:4110]))], "doc_id bigint, text string")
     found = {r.doc_id: r.n_hit for r in decontamination.report(docs, spark.createDataFrame([(7, text)], "item_id bigint, text string")).collect()}
     assert found == {1: len(letter_words(text)), 2: 20}
+
+
+def test_items_without_an_id_are_searched_but_not_listed(spark):
+    rows = [(None, "one two three"), (None, "seven eight"), (5, "two three"), (None, None)]
+    items = ready(spark).createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four"), (2, "seven eight"), (3, "nine"), (4, None)], "doc_id bigint, text string")
+    for options in ({}, {"part_words": 2}):
+        found = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.report(docs, items, **options).collect()}
+        assert found == {1: (3, 1, True), 2: (2, 0, True), 3: (0, 0, False), 4: (0, 0, False)}
+    assert [r.doc_id for r in decontamination.clean(docs, items).orderBy("doc_id").collect()] == [3, 4]
+

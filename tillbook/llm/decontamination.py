@@ -39,18 +39,18 @@ def item_pieces(benchmark: DataFrame, window: int, piece: int) -> DataFrame:
                     out.append({"item": item, "words": words[at : at + piece + window - 1]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("item", pa.string()), ("words", pa.list_(pa.binary()))]))
 
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     return items.mapInArrow(cut, "item string, words array<binary>")
 
 
-def windows_of(pieces: list[tuple[str, list[bytes]]], window: int) -> SimpleNamespace:
+def windows_of(pieces: list[tuple[str | None, list[bytes]]], window: int) -> SimpleNamespace:
     """Distinct windows of some benchmark items; ``words`` are term numbers, -1 pads.
 
     Of the pairs ``of_window`` and ``of_item``, each says that an item has a window.
     """
     terms: dict[bytes, int] = {}
     known: dict[tuple[int, ...], int] = {}
-    items: dict[str, int] = {}
+    items: dict[str | None, int] = {}
     pairs = set()
     for item, words in pieces:
         numbers = [terms.setdefault(bytes(w), len(terms)) for w in words]
@@ -205,7 +205,7 @@ def _items(w: np.ndarray, s: np.ndarray, windows: SimpleNamespace, bases: np.nda
     for pair in np.unique(doc * len(windows.words) + w) if len(w) else ():
         d, found = divmod(int(pair), len(windows.words))
         lo, hi = np.searchsorted(windows.of_window, [found, found + 1])
-        out[d].extend(windows.items[i] for i in windows.of_item[lo:hi])
+        out[d].extend(windows.items[i] for i in windows.of_item[lo:hi] if windows.items[i] is not None)
     return [sorted(set(items)) for items in out]
 
 
@@ -216,8 +216,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int =
     ``items`` the items with an exactly matched window, ``near_items`` those with a
     window matched within ``slop`` places (these included; none are sought if it is 0). A benchmark of more than ``part_words`` words
     is searched in parts of about that size, each broadcast in turn; NULL texts and
-    texts without words match nothing, repeated rows give equal rows, NULL item ids
-    are not searched for, and without items every document is clean.
+    texts without words match nothing, repeated rows give equal rows, items
+    without an id are searched for like others but not listed, and without items every
+    document is clean.
     """
     gap = window + 2 * slop + 1
     pieces = staged(item_pieces(benchmark, window, piece=4096), "benchmark-pieces")

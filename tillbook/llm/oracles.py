@@ -8,7 +8,7 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES = {
     "op2_decontamination": f"""
         WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-        items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
         cuts AS (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM items WHERE len(w) > 0),
         windows AS (SELECT DISTINCT item, size, array_to_string(w[pos:pos + size - 1], ' ') AS words FROM cuts),
         sizes AS (SELECT DISTINCT size FROM windows),
@@ -16,7 +16,7 @@ ORACLES = {
         found AS (SELECT rid, item, p.size, pos FROM (SELECT *, array_to_string(w[pos:pos + size - 1], ' ') AS words FROM places) p
                   JOIN windows USING (size, words)),
         hits AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY rid),
-        named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        named AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
                   FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
