@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from cases import messy, messy_rows
@@ -98,3 +99,48 @@ def test_messy_base(spark):
     rows = secrets.report(messy(ready(spark))).collect()
     want = sorted(hashlib.sha256(listed(base(t)).encode()).hexdigest() for _, t, *_ in messy_rows())
     assert sorted(r.base_sha256 for r in rows) == want
+
+
+WEAK = [
+    re.compile(r"""(?<![^\W_])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""", re.I),
+    re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{32,}={0,2}"),
+    re.compile(r"\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|s3)://[^\x00-\x20\"'<>]{4,}", re.I | re.A),
+]
+
+
+def linked(text):
+    """All spans, by looking at all parts of a text in pairs."""
+    certain = base(text)
+    weak = [(m.start(), 3 + i, m.end()) for i, pattern in enumerate(WEAK) for m in pattern.finditer(text)]
+    weak = [w for w in weak if w[1] != 4 or all(re.search(sort, text[w[0] : w[2]]) for sort in ("[0-9]", "[A-Z]", "[a-z]"))]
+    breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n\s*", text)]
+    scope = lambda s: sum(b < s[0] for b in breaks)
+    roles = {0: "secret", 1: "identifier", 2: "secret", 3: "identifier", 4: "secret", 5: "endpoint"}
+    needs = {3: ["secret"], 4: ["identifier"], 5: ["identifier", "secret"]}
+    apart = lambda w, o: o[2] <= w[0] or o[0] >= w[2]
+    found = [
+        w
+        for w in weak
+        if all(apart(w, c) for c in certain)
+        and all(any(roles[o[1]] == need and scope(o) == scope(w) and abs(o[0] - w[0]) <= 240 and (w[1] == 5 or apart(w, o)) for o in certain + weak) for need in needs[w[1]])
+    ]
+    return sorted(certain + found)
+
+
+def test_linking_equals_brute_force(spark):
+    rng = random.Random(8)
+    tail = "".join(rng.choice("abcXYZ019+/") for _ in range(400))
+    parts = ["user=alice", "DB_USER = bob", "client_id:abc", "token=abcdef0", "AKIA" + "Q" * 16, "0123456789abcdef01234567", KEY, tail, "q" * 130 + "B1zz",
+             "https://db.example.com/x", "redis://u:p@h:1", "\n\n", "\n \t\n", "\n", "x " * 60, "é ü " * 20, "account=" + KEY, "secret"]
+    texts = {i: "".join(rng.choice(parts) + rng.choice([" ", " ", ", ", "\n"]) for _ in range(rng.randint(2, 14))) for i in range(400)}
+    docs = ready(spark).createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    names = KINDS + ["identifier", "key", "endpoint"]
+    want = {i: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in linked(text)) for i, text in texts.items()}
+    assert {r.doc_id: r.spans for r in secrets.report(docs).collect()} == want
+    assert sum("key:" in w for w in want.values()) > 50 and sum("endpoint:" in w for w in want.values()) > 50
+
+
+def test_key_whose_sorts_of_characters_come_late(spark):
+    docs = ready(spark).createDataFrame([(1, "user=alice key " + "q" * 5000 + "B1zz")], "doc_id bigint, text string")
+    assert secrets.report(docs).first().spans == "identifier:0:10,key:15:5019"
+

@@ -20,7 +20,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 # Weak candidates. Identifiers may end a longer name, as in DB_USER; keys may follow a "=".
 IDENTIFIER = r"""(?i)(?<![\p{L}\p{N}])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
-KEY = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/]{0,127}[0-9])(?=[A-Za-z0-9+/]{0,127}[A-Z])(?=[A-Za-z0-9+/]{0,127}[a-z])[A-Za-z0-9+/]{32,}={0,2}"
+# Each look ahead passes over what is not yet the wanted sort of character, once, however long.
+KEY = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|s3)://[^\x00-\x20\"'<>]{4,}"
 
 BASE_KINDS = ["assign", "access", "hex"]
