@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.dates import days_before, midnight, month_start, shift_months
@@ -61,6 +61,14 @@ def _written(t: Testbed) -> DataFrame:
     return store.read("inventory")
 
 
+def _erased(t: Testbed, doomed: Column, table: str) -> DataFrame:
+    """A table of a store after a purge by key sets."""
+    store = ParquetStore(t.spark, _job_folder(t, "store"))
+    store.commit({"orders": t.orders(), "order_items": t.order_items(), "transactions": t.transactions()})
+    purging.erase(store, doomed)
+    return store.read(table)
+
+
 REPORTS: dict[str, Plan] = {
     "sales_daily_summary": lambda t: sales.daily_summary(t.orders(_days(30)), t.order_items(True), AS_OF),
     "sales_monthly_trend": lambda t: sales.monthly_trend(t.orders(_months(12)), AS_OF),
@@ -263,6 +271,9 @@ UPKEEP: dict[str, Plan] = {
 SOURCES: dict[str, Plan] = {
     "src_parquet": lambda t: t.order_items(),
     "sink_parquet": _written,
+    "erase_old_orders": lambda t: _erased(t, purging.is_old(AS_OF), "orders"),
+    "erase_cancelled_orders": lambda t: _erased(t, purging.is_dead(), "order_items"),
+    "erase_orders_by_age": lambda t: _erased(t, purging.past_keeping(AS_OF), "transactions"),
     "stream_sales_summary": _stream_sales_summary,
     "stream_session_activity": _stream_session_activity,
 }

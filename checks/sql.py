@@ -707,6 +707,9 @@ _UPKEEP["place_orders_inventory"] = _stock(
 
 _SOURCES = {
     "sink_parquet": _UPKEEP["restock_low_inventory"],
+    "erase_old_orders": _UPKEEP["purge_old_orders_orders"],
+    "erase_cancelled_orders": _UPKEEP["delete_cancelled_orders_items"],
+    "erase_orders_by_age": _UPKEEP["purge_orders_by_age_transactions"],
     "src_parquet": f"SELECT {columns('order_items')} FROM shop_items",
     "stream_sales_summary": _MERGED_SUMMARY,
     "stream_session_activity": """

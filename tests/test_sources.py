@@ -8,8 +8,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import rows
-from tillbook.plans.upkeep import ordering
+from conftest import planned, rows
+from tillbook.plans.upkeep import ordering, purging
 from tillbook.schema import table_names, table_schema
 from tillbook.sources import jdbc, seeds
 from tillbook.sources.parquet_store import Months, ParquetStore
@@ -108,6 +108,58 @@ def test_tables_change_together(spark, table, tmp_path):
     assert store.commits() == [0] and store.read("orders").count() == 10
 
 
+def _kept_by_month(spark, table, store):
+    """200 orders over three months with two lines and a payment each."""
+    orders = table("orders", [{"order_id": i, "status": "COMPLETED" if i % 100 == 7 else "PENDING", "order_date": f"2001-0{1 + i % 3}-05 10:00:00"} for i in range(200)])
+    lines = table("order_items", [{"order_item_id": i, "order_id": i // 2, "product_id": 1} for i in range(400)] + [{"order_item_id": 999}])
+    payments = table("transactions", [{"transaction_id": i, "order_id": i} for i in range(200)])
+    store.commit({"orders": Months(orders, "order_date"), "order_items": lines, "transactions": payments})
+
+
+def _rows_on_disk(spark, tmp_path) -> int:
+    return sum(spark.read.parquet(str(f)).count() for f in tmp_path.rglob("*.parquet"))
+
+
+def test_a_purge_by_keys_writes_the_keys_only(spark, table, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    _kept_by_month(spark, table, store)
+    before, purged = _rows_on_disk(spark, tmp_path), purging.old_orders(*(store.read(n, 0) for n in ("orders", "order_items", "transactions")), AS_OF)
+    assert purging.erase(store, purging.is_old(AS_OF)) == 1
+    assert _rows_on_disk(spark, tmp_path) - before == 2  # 1 % of the orders
+    for name, want in (("orders", purged.orders), ("order_items", purged.items), ("transactions", purged.transactions)):
+        assert sorted(map(repr, store.read(name).collect())) == sorted(map(repr, want.collect()))
+        assert store.versions(name) == [0, 1]
+    assert store.read("orders", 0).count() == 200 and store.read("orders").count() == 198
+
+
+def test_an_erased_key_may_come_back(spark, table, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    _kept_by_month(spark, table, store)
+    purging.erase(store, purging.is_old(AS_OF))
+    again = table("orders", [{"order_id": 7, "status": "PENDING", "order_date": "2001-02-06 10:00:00"}])
+    store.commit({"orders": Months(store.read("orders", months=["2001-02"]).unionByName(again), "order_date", ["2001-02"])})
+    assert store.read("orders").filter("order_id = 7").count() == 1 and store.read("orders").count() == 199
+    store.erase(spark.createDataFrame([(7,), (8,), (None,)], "order_id long"), "order_id", ["orders"])
+    assert store.read("orders").count() == 197 and store.read("order_items").filter("order_id is null").count() == 1
+
+
+def test_folding_writes_parts_with_erased_keys_anew(spark, table, tmp_path):
+    store = ParquetStore(spark, str(tmp_path))
+    _kept_by_month(spark, table, store)
+    store.erase(spark.createDataFrame([(1,)], "order_id long"), "order_id", ["orders", "order_items"])
+    left = {name: sorted(map(repr, store.read(name).collect())) for name in ("orders", "order_items")}
+    added = table("orders", [{"order_id": 300, "order_date": "2001-03-06 10:00:00"}])
+    store.commit({"orders": Months(store.read("orders", months=["2001-03"]).unionByName(added), "order_date", ["2001-03"])})
+    march = store._state(None)["orders"]["2001-03"]
+    store.fold("orders", "order_date")
+    store.fold("order_items")
+    state = store._state(None)
+    assert all(isinstance(part, str) for name in left for part in state[name].values()) and state["orders"]["2001-03"] == march
+    assert sorted(map(repr, store.read("orders").filter("order_id < 300").collect())) == left["orders"]
+    assert sorted(map(repr, store.read("order_items").collect())) == left["order_items"]
+    assert "LeftAnti" not in planned(store.read("orders"))
+
+
 def test_jdbc_options():
     db = jdbc.Database("jdbc:somewhere", "some.Driver", "reader")
     plain = jdbc.read_options(db, "ORDERS")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillbook.functions.dates import days_before, stamp
 from tillbook.operators.versions import count_of, without, without_where
 from tillbook.schema import DEAD, FINISHED
+from tillbook.sources.parquet_store import ParquetStore
 
 
 @dataclass(frozen=True)
@@ -43,24 +44,45 @@ def _older(column: str, as_of: datetime, days: int) -> Column:
     return F.col(column) < stamp(days_before(as_of, days))
 
 
+def is_old(as_of: datetime, days_to_keep: int = 30) -> Column:
+    """Completed and delivered orders past their keeping time."""
+    return F.col("status").isin(*FINISHED) & past_keeping(as_of, days_to_keep)
+
+
+def is_dead() -> Column:
+    """Cancelled orders and those whose payment failed."""
+    return F.col("status").isin(*DEAD)
+
+
+def past_keeping(as_of: datetime, days_to_keep: int = 30) -> Column:
+    """Orders past their keeping time, whatever their status."""
+    return _older("order_date", as_of, days_to_keep)
+
+
 def old_orders(
     orders: DataFrame, items: DataFrame, transactions: DataFrame, as_of: datetime, days_to_keep: int = 30
 ) -> Purge:
-    """Completed and delivered orders past their keeping time."""
-    doomed = F.col("status").isin(*FINISHED) & _older("order_date", as_of, days_to_keep)
-    return _purged(orders, items, transactions, doomed)
+    return _purged(orders, items, transactions, is_old(as_of, days_to_keep))
 
 
 def dead_orders(orders: DataFrame, items: DataFrame, transactions: DataFrame) -> Purge:
-    """Cancelled orders and those whose payment failed."""
-    return _purged(orders, items, transactions, F.col("status").isin(*DEAD))
+    return _purged(orders, items, transactions, is_dead())
 
 
 def orders_by_age(
     orders: DataFrame, items: DataFrame, transactions: DataFrame, as_of: datetime, days_to_keep: int = 30
 ) -> Purge:
-    """Orders past their keeping time, whatever their status."""
-    return _purged(orders, items, transactions, _older("order_date", as_of, days_to_keep))
+    return _purged(orders, items, transactions, past_keeping(as_of, days_to_keep))
+
+
+def erase(store: ParquetStore, doomed: Column) -> int:
+    """Purge the orders of a store with their lines and transactions, in one commit.
+
+    The numbers of the doomed orders are all that is written; the three tables are
+    neither written nor, but for the columns of ``doomed``, read.
+    """
+    keys = store.read("orders").filter(doomed).select("order_id")
+    return store.erase(keys, "order_id", ["orders", "order_items", "transactions"])
 
 
 def audit_log(audit: DataFrame, as_of: datetime, days_to_keep: int = 30) -> DataFrame:

@@ -5,6 +5,10 @@ the folders of every table, so several tables change together. Manifests are cre
 never overwritten: of two writers of one commit, one fails, and readers of an earlier
 commit are never disturbed. A table may be kept by month of a timestamp; a change then
 writes the months it touches, and the manifest keeps the folders of the others.
+
+Rows can be erased by key without writing a table: the keys are written once, and the
+manifest says which folders are read without them. Rows written later are in other folders,
+so a key may come back; folding writes what is left of a folder anew.
 """
 
 from __future__ import annotations
@@ -13,12 +17,17 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbook.operators.versions import without
 from tillbook.schema import table_schema
 
+# A folder, alone or followed by the folders of erased keys, each with the key's column before it.
+Part = str | list[str]
+
 MONTH = "_month"
 # Folder of rows without a month.
 UNDATED = "none"
@@ -49,8 +58,8 @@ class ParquetStore:
         path, files = self._path(pattern)
         return sorted(status.getPath().getName() for status in files.globStatus(path) or [])
 
-    def _manifest(self, version: int) -> dict[str, dict[str, str]]:
-        """Folder by month by table. Manifests hold folder names only, a few per table."""
+    def _manifest(self, version: int) -> dict[str, dict[str, Part]]:
+        """Part by month by table. Manifests hold folder names only, a few per table."""
         path, files = self._path(f"commits/{version:010d}.json")
         stream = files.open(path)
         try:
@@ -71,7 +80,7 @@ class ParquetStore:
             before = now
         return found
 
-    def _state(self, version: int | None) -> dict[str, dict[str, str]]:
+    def _state(self, version: int | None) -> dict[str, dict[str, Part]]:
         known = [v for v in self.commits() if version is None or v <= version]
         return self._manifest(known[-1]) if known else {}
 
@@ -80,12 +89,42 @@ class ParquetStore:
 
     def read(self, table: str, version: int | None = None, months: list[str] | None = None) -> DataFrame:
         """The table as of a commit, the latest by default; only of some months if given."""
-        folders = self._state(version)[table]
-        wanted = [folder for month, folder in folders.items() if months is None or month in months]
+        parts = self._state(version)[table]
         schema = table_schema(table)
-        if not wanted:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{folder}" for folder in wanted))
+        # Folders with the same erased keys are scanned together.
+        scans: dict[tuple[str, ...], list[str]] = {}
+        for month, part in parts.items():
+            if months is None or month in months:
+                folder, *erased = [part] if isinstance(part, str) else part
+                scans.setdefault(tuple(erased), []).append(f"{self.root}/{folder}")
+        found = [self._without(self.spark.read.schema(schema).parquet(*folders), erased) for erased, folders in scans.items()]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], schema)
+
+    def _without(self, rows: DataFrame, erased: tuple[str, ...]) -> DataFrame:
+        for key, folder in zip(erased[::2], erased[1::2]):
+            keys = self.spark.read.schema(f"{key} {rows.schema[key].dataType.simpleString()}").parquet(f"{self.root}/{folder}")
+            rows = without(rows, keys, key)
+        return rows
+
+    def erase(self, keys: DataFrame, key: str, tables: list[str]) -> int:
+        """Drop the rows with the given keys from several tables in one commit.
+
+        Only the keys are written, whatever the tables hold; NULL is no key.
+        """
+        folder = f"erased/{uuid.uuid4().hex}"
+        keys.select(key).filter(F.col(key).isNotNull()).distinct().write.parquet(f"{self.root}/{folder}")
+        state, version = self._next()
+        for table in tables:
+            state[table] = {m: [*([part] if isinstance(part, str) else part), key, folder] for m, part in state[table].items()}
+        return self._append(state, version)
+
+    def fold(self, table: str, column: str | None = None) -> int:
+        """Write the parts of a table from which keys were erased anew, without these rows;
+        ``column`` is the one whose month the table is kept by."""
+        parts = self._state(None)[table]
+        touched = [month for month, part in parts.items() if not isinstance(part, str)]
+        rows = self.read(table, months=touched)
+        return self.commit({table: rows if column is None else Months(rows, column, touched)})
 
     def months_of(self, table: str, column: str, keys: DataFrame, key: str) -> list[str]:
         """Months in which rows with the given keys lie; reads the two columns only."""
@@ -96,9 +135,7 @@ class ParquetStore:
         """Write changes of several tables and make them one commit, the next or the one
         named. Raises FileExistsError if that commit exists; the files are then unused.
         """
-        if version is None:
-            version = max(self.commits(), default=-1) + 1
-        state = self._state(version)
+        state, version = self._next(version)
         for table, change in changes.items():
             folder = f"{table}/{uuid.uuid4().hex}"
             if not isinstance(change, Months):
@@ -111,6 +148,15 @@ class ParquetStore:
             if kept.keys() & written.keys():
                 raise ValueError(f"rows of untouched months {sorted(kept.keys() & written.keys())} of {table}")
             state[table] = kept | written
+        return self._append(state, version)
+
+    def _next(self, version: int | None = None) -> tuple[dict[str, dict[str, Part]], int]:
+        """The state that the next commit, or the one named, changes, and its number."""
+        if version is None:
+            version = max(self.commits(), default=-1) + 1
+        return self._state(version), version
+
+    def _append(self, state: dict[str, dict[str, Part]], version: int) -> int:
         self._create(f"commits/{version:010d}.json", json.dumps(state, indent=1).encode())
         return version
 
