@@ -9,10 +9,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import planned, rows
+from tillbook.plans import lookups
 from tillbook.plans.upkeep import ordering, purging
-from tillbook.schema import table_names, table_schema
+from tillbook.schema import conform, table_names, table_schema
 from tillbook.sources import jdbc, seeds
-from tillbook.sources.parquet_store import Months, ParquetStore
+from tillbook.sources.parquet_store import PAGE_ROWS, Months, ParquetStore, Sorted
 
 AS_OF = datetime(2001, 7, 31, 12)
 
@@ -160,6 +161,40 @@ def test_folding_writes_parts_with_erased_keys_anew(spark, table, tmp_path):
     assert "LeftAnti" not in planned(store.read("orders"))
 
 
+def _scanned(df) -> int:
+    """Rows that the scans of a query handed on."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("n", [1, 10, 25])
+def test_point_reads_take_pages_not_tables(spark, tmp_path, n):
+    store = ParquetStore(spark, str(tmp_path))
+    customers = spark.range(100_000).selectExpr("id * 7919 % 100003 as customer_id", "concat('c', id, '@example.com') as email")
+    products = spark.range(50_000).selectExpr("id * 31 % 50021 as product_id", "concat('p', id) as product_name", "'toys' as category", "cast(9.5 as decimal(10,2)) as price", "concat('s', id) as sku")
+    tables = {"customers": conform(customers, "customers"), "products": conform(products, "products")}
+    store.commit({"customers": Sorted(tables["customers"], "customer_id"), "products": Sorted(tables["products"], "product_id")})
+    for read, plain, name, key, step in (
+        (lookups.emails_of, tables["customers"].select("customer_id", "email"), "customers", "customer_id", 3989),
+        (lookups.details_of, lookups.product_details(tables["products"]), "products", "product_id", 1999),
+    ):
+        ids = [i * step for i in range(n)]
+        assert sorted(map(tuple, read(store, ids).collect())) == sorted(map(tuple, plain.filter(F.col(key).isin(ids)).collect()))
+        assert 0 < _scanned(read(store, ids)) <= n * PAGE_ROWS
+        assert _scanned(store.read(name)) == tables[name].count()
+    assert lookups.emails_of(store, []).collect() == [] and lookups.emails_of(store, [-5]).collect() == []
+
+
 def test_jdbc_options():
     db = jdbc.Database("jdbc:somewhere", "some.Driver", "reader")
     plain = jdbc.read_options(db, "ORDERS")

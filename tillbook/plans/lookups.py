@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.numbers import money_sum
 from tillbook.operators.shaping import top
+from tillbook.sources.parquet_store import ParquetStore
 
 
 def row_count(table: DataFrame, name: str) -> DataFrame:
@@ -32,6 +33,16 @@ def customer_email_lookup(customers: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("customer_id").join(customers.select("customer_id", "email"), "customer_id", "left")
 
 
+def emails_of(store: ParquetStore, customer_ids: list[int]) -> DataFrame:
+    """:func:`customer_email_lookup` of a few customers as a point read; unknown ids have no row."""
+    return store.find("customers", "customer_id", customer_ids).select("customer_id", "email")
+
+
+def details_of(store: ParquetStore, product_ids: list[int]) -> DataFrame:
+    """:func:`product_details` of a few products as a point read."""
+    return product_details(store.find("products", "product_id", product_ids))
+
+
 def product_details(products: DataFrame) -> DataFrame:
     price = F.col("price").cast("decimal(10,2)").cast("string")
     text = F.format_string("%s (%s) - $%s [%s]", F.col("product_name"), F.col("category"), price, F.col("sku"))

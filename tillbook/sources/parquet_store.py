@@ -45,6 +45,21 @@ class Months:
     touched: list[str] | None = None  # None: all
 
 
+@dataclass(frozen=True)
+class Sorted:
+    """Next rows of a table that single rows are read from by ``key``: files that do not
+    overlap, in order of the key, with small pages and a Bloom filter on it."""
+
+    rows: DataFrame
+    key: str
+
+
+# Rows of a page of a sorted table, the least that a point read takes.
+PAGE_ROWS = 1000
+# Values of one list that a scan compares with pages and Bloom filters one by one.
+LISTED = 10
+
+
 class ParquetStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -106,6 +121,16 @@ class ParquetStore:
             rows = without(rows, keys, key)
         return rows
 
+    def find(self, table: str, key: str, values: list) -> DataFrame:
+        """The rows with the given keys; of a sorted table, their pages are all that is read.
+
+        Scans look single values up only in short lists, so long ones are cut up.
+        """
+        wanted = sorted(set(values))
+        lists = [wanted[at : at + LISTED] for at in range(0, len(wanted), LISTED)]
+        conditions = [F.col(key).isin(some) for some in lists]
+        return self.read(table).filter(reduce(lambda a, b: a | b, conditions, F.lit(False)))
+
     def erase(self, keys: DataFrame, key: str, tables: list[str]) -> int:
         """Drop the rows with the given keys from several tables in one commit.
 
@@ -131,13 +156,19 @@ class ParquetStore:
         rows = self.read(table).select(key, _month(column)).join(keys.select(key).distinct(), key, "left_semi")
         return sorted(r[MONTH] for r in rows.select(MONTH).distinct().collect())  # a row per month
 
-    def commit(self, changes: dict[str, DataFrame | Months], version: int | None = None) -> int:
+    def commit(self, changes: dict[str, DataFrame | Months | Sorted], version: int | None = None) -> int:
         """Write changes of several tables and make them one commit, the next or the one
         named. Raises FileExistsError if that commit exists; the files are then unused.
         """
         state, version = self._next(version)
         for table, change in changes.items():
             folder = f"{table}/{uuid.uuid4().hex}"
+            if isinstance(change, Sorted):
+                rows = change.rows.repartitionByRange(change.key).sortWithinPartitions(change.key)
+                layout = {f"parquet.bloom.filter.enabled#{change.key}": "true", "parquet.page.row.count.limit": str(PAGE_ROWS)}
+                rows.write.options(**layout).parquet(f"{self.root}/{folder}")
+                state[table] = {WHOLE: folder}
+                continue
             if not isinstance(change, Months):
                 change.write.parquet(f"{self.root}/{folder}")
                 state[table] = {WHOLE: folder}
