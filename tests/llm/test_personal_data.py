@@ -110,6 +110,16 @@ def test_block_states_equal_training_states():
         assert np.allclose(pii.window_states(letters, inputs, hidden).transpose(0, 2, 1), states, atol=1e-5)
 
 
+def test_block_scores_equal_products_of_states_however_large_the_weights():
+    rng = np.random.default_rng(5)
+    letters, model = rng.integers(0, pii.CLASSES, (30, 9)), pii.fresh(5, 6)
+    for scale in (1, 40, 1000):
+        for inputs, hidden, out in zip(model.inputs, model.hidden, (model.out[:5], model.out[5:])):
+            states, _ = pii.run_lstm(letters, inputs * scale, hidden)
+            found = pii.window_states(letters, inputs * scale, hidden, out)
+            assert np.isfinite(found).all() and np.allclose(found.transpose(0, 2, 1), states @ out, atol=1e-4), scale
+
+
 @pytest.mark.parametrize("length", [0, 1, pii.STRIDE - 1, pii.STRIDE, pii.STRIDE + 1, 5 * pii.STRIDE + 7])
 def test_windows_cover_every_letter_once(length):
     letters = np.random.default_rng(length).integers(1, pii.CLASSES, length).astype(np.uint8)
