@@ -128,3 +128,13 @@ def test_hot_order_is_split(spark, small_skew):
     result = df.collect()
     assert "skew=true" in planned(df)
     assert [r["total_quantity_sold"] for r in result] == [150] * 20
+
+
+def test_partitions_put_together_stay_small(spark):
+    """Some 70 MB of a shuffle: a task reads a fraction of them even if parallelism does not ask for more tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        marks = spark.range(0, 2_000_000, 1, 4).selectExpr("uuid() as mark").repartition("mark")
+        assert marks.rdd.getNumPartitions() >= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")

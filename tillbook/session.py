@@ -12,6 +12,10 @@ RUNTIME = {
     # Split a skewed join even where the next step then needs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Keys that hardly recur, such as an order's product, fill a hash table with all rows of
+    # a partition, in many times the bytes they had in the shuffle; pairs multiply them again.
+    # A quarter of Spark's size for partitions put together keeps a task's tables as much smaller.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # Parquet holds keys in a fraction of their size in memory; without this
     # factor a broadcast is chosen by the size of the file.
     "spark.sql.sources.fileCompressionFactor": "4.0",
