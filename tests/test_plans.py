@@ -7,6 +7,7 @@ import pytest
 from checks.registry import LOOKUPS, REPORTS, UPKEEP
 from conftest import planned
 from tillbook.plans import sales
+from tillbook.plans.procedures import product_recommendation
 from tillbook.session import tune
 from checks.testbed import AS_OF, Testbed
 
@@ -134,3 +135,19 @@ def test_hot_order_is_split(spark, small_skew):
 def test_partitions_put_together_stay_small(spark):
     """Of a shuffle's partitions, a task reads 16 MB together at most, a quarter of what Spark puts together."""
     assert tune(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+@pytest.mark.parametrize("set_by_cluster, started", [("8", 200), ("300", 300)])
+def test_shuffles_start_with_enough_partitions(spark, set_by_cluster, started):
+    """However few partitions a cluster sets, the words of product_recommendation's bitmaps lie in so many, and never in fewer than it sets."""
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = {key: spark.conf.get(key, None) for key in ("spark.sql.shuffle.partitions", initial)}
+    spark.conf.unset(initial)
+    spark.conf.set("spark.sql.shuffle.partitions", set_by_cluster)
+    try:
+        items = tune(spark).range(3_000).selectExpr("id div 3 as order_id", "id % 700 as product_id")
+        words = re.findall(r"Exchange hashpartitioning\(product_id#\d+L, _groupingexpression#\d+L, (\d+)\)", planned(product_recommendation(items)))
+        assert words and {int(n) for n in words} == {started}
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

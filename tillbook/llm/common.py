@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillbook.operators.staging import staged
-from tillbook.session import tune
+from tillbook.session import pin
 
 # Words of the plain kind: anything between ASCII white space.
 PLAIN_WORD = r"[^\x20\x09-\x0D]+"
@@ -27,7 +27,7 @@ def letter_words(text: bytes | None) -> list[bytes]:
 
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and Arrow batches that stay small with long texts."""
-    tune(spark)
+    pin(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return spark
 

@@ -23,8 +23,14 @@ RUNTIME = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+# Partitions a shuffle starts with at least, before adaptive execution puts small ones together:
+# it never cuts one that is large, so that with a few a task takes all that the input grows by.
+# Up to Spark's 200 a map task writes them without sorting its rows in memory first.
+PARTITIONS = 200
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
-def tune(spark: SparkSession) -> SparkSession:
+
+def pin(spark: SparkSession) -> SparkSession:
     """Pin the time zone and adaptive execution (skew-join splitting, partition
     coalescing); partition counts and memory stay as the cluster set them."""
     for key, value in RUNTIME.items():
@@ -33,6 +39,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """:func:`pin`, and shuffles that start with PARTITIONS partitions or as many as the
+    cluster set, if those are more; memory stays as the cluster set it."""
+    wanted = max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL, None) or 0))
+    if spark.conf.get(INITIAL, None) != str(wanted):
+        spark.conf.set(INITIAL, str(wanted))
+    return pin(spark)
+
+
 def local_session(cores: str = "8", name: str = "tillbook") -> SparkSession:
     """Session for tests and the benchmark."""
     builder = (
@@ -50,7 +65,7 @@ def local_session(cores: str = "8", name: str = "tillbook") -> SparkSession:
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return tune(spark)
+    return pin(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
