@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -120,6 +121,24 @@ def test_block_scores_equal_products_of_states_however_large_the_weights():
             assert np.isfinite(found).all() and np.allclose(found.transpose(0, 2, 1), states @ out, atol=1e-4), scale
 
 
+def test_scores_of_both_ways_are_added_in_place():
+    """Scores of a block are written once: a second way adds to the first one's, step by step."""
+    rng = np.random.default_rng(6)
+    letters, model = rng.integers(0, pii.CLASSES, (30, 9)), pii.fresh(5, 6)
+    one, other = (pii.run_lstm(some, *weights)[0] for some, *weights in zip((letters, letters[::-1]), model.inputs, model.hidden))
+    scores = pii.window_states(letters, model.inputs[0], model.hidden[0], model.out[:5])
+    pii.window_states(letters[::-1], model.inputs[1], model.hidden[1], model.out[5:], scores[::-1])
+    assert np.allclose(scores.transpose(0, 2, 1), one @ model.out[:5] + other[::-1] @ model.out[5:], atol=1e-4)
+    windows = rng.integers(0, pii.CLASSES, (1024, pii.WINDOW)).astype(np.uint8)
+    model.bias[0] = 9
+    tracemalloc.start()
+    try:
+        assert not pii.decoded(windows, model).any()
+        assert tracemalloc.get_traced_memory()[1] < 1.25 * 1024 * pii.WINDOW * pii.TAGS * 4
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("length", [0, 1, pii.STRIDE - 1, pii.STRIDE, pii.STRIDE + 1, 5 * pii.STRIDE + 7])
 def test_windows_cover_every_letter_once(length):
     letters = np.random.default_rng(length).integers(1, pii.CLASSES, length).astype(np.uint8)

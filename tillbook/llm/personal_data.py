@@ -28,7 +28,7 @@ TAGS = 1 + 2 * len(KINDS)
 WINDOW, MARGIN = 256, 16
 STRIDE = WINDOW - 2 * MARGIN
 # Windows that are decoded together.
-BLOCK = 1024
+BLOCK = 512
 UNITS = 12
 # Letters of a training window.
 LEARNT = 64
@@ -286,50 +286,55 @@ def fitted(letters: np.ndarray, tags: np.ndarray, units: int = UNITS, epochs: in
     return model
 
 
-def logistic(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(x)), in place."""
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def window_states(letters: np.ndarray, inputs: np.ndarray, hidden: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+def window_states(
+    letters: np.ndarray, inputs: np.ndarray, hidden: np.ndarray, out: np.ndarray | None = None, onto: np.ndarray | None = None
+) -> np.ndarray:
     """States of a block, letters by unit by window: :func:`run_lstm` without the way back.
-    With ``out``, what they add to the scores instead, letters by tag by window.
-
-    Numpy's exponential takes a fraction of the time of its hyperbolic tangent, so that
-    tanh(x) is 2 / (1 + exp(-2x)) - 1; the factors of x are in the weights. An exponential
-    too large for a float is infinite, which gives the right limit.
+    With ``out``, what they add to the scores instead, letters by tag by window; it is added
+    to the scores ``onto``, if given.
+
+    Numpy's exponential takes a fraction of the time of its hyperbolic tangent, so that a gate
+    is a division by 1 + exp(-x) and half of tanh(x) is 1 / (1 + exp(-2x)) - 1/2; the factors
+    of x are in the weights, and states and memory are kept halved. An exponential too large
+    for a float is infinite, which gives the right limit. A letter's weights of a gate are
+    neighbours in the table, so that they are copied together.
     """
     units = len(hidden)
-    factors = np.full((4 * units, 1), -1, np.float32)
-    factors[3 * units :] = -2
-    table, weights = inputs.T * factors, hidden.T * factors
+    factors = np.repeat(np.array([-1, -1, -1, -2], np.float32), units)
+
+    def by_gate(weights: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(weights.reshape(-1, 4, units).transpose(1, 0, 2), np.float32)
+
+    table, weights = by_gate(inputs * factors), by_gate(2 * hidden * factors)
     steps, n = letters.shape
-    z, pull = np.empty((4 * units, n), np.float32), np.empty((4 * units, n), np.float32)
-    h, c, wide = (np.zeros((units, n), np.float32) for _ in range(3))
-    new, tags = z[3 * units :], None if out is None else np.ascontiguousarray(out.T)
-    found = np.empty((steps, units if tags is None else len(tags), n), np.float32)
+    z, pull = np.empty((4, n, units), np.float32), np.empty((4, n, units), np.float32)
+    h, c, wide = (np.zeros((n, units), np.float32) for _ in range(3))
+    enters, forgets, leaves, new = z
+    tags = np.ascontiguousarray(2 * (np.eye(units) if out is None else out.T), np.float32)
+    found = np.empty((steps, len(tags), n), np.float32) if onto is None else onto
+    added = np.empty((len(tags), n), np.float32)
     with np.errstate(over="ignore"):
         for t in range(steps):
             np.take(table, letters[t], axis=1, out=z, mode="clip")
-            np.dot(weights, h, out=pull)
+            np.matmul(h, weights, out=pull)
             z += pull
-            logistic(z)
-            new *= 2
-            new -= 1
-            c *= z[units : 2 * units]
-            np.multiply(z[:units], new, out=wide)
-            c += wide
-            np.multiply(c, -2, out=wide)
-            logistic(wide)
-            wide *= 2
-            wide -= 1
-            np.multiply(z[2 * units : 3 * units], wide, out=h)
-            if tags is None:
-                found[t] = h
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(new, out=new)
+            new -= 0.5
+            new /= enters
+            c /= forgets
+            c += new
+            np.multiply(c, -4, out=wide)
+            np.exp(wide, out=wide)
+            wide += 1
+            np.reciprocal(wide, out=wide)
+            wide -= 0.5
+            np.divide(wide, leaves, out=h)
+            if onto is None:
+                np.dot(tags, h.T, out=found[t])
             else:
-                np.dot(tags, h, out=found[t])
+                found[t] += np.dot(tags, h.T, out=added)
     return found
 
 
@@ -346,7 +351,7 @@ def decoded(windows: np.ndarray, model: Model) -> np.ndarray:
     for at in range(0, len(windows), BLOCK):
         letters = np.ascontiguousarray(windows[at : at + BLOCK].T)
         scores = window_states(letters, model.inputs[0], model.hidden[0], model.out[:units])
-        scores += window_states(letters[::-1], model.inputs[1], model.hidden[1], model.out[units:])[::-1]
+        window_states(letters[::-1], model.inputs[1], model.hidden[1], model.out[units:], scores[::-1])
         scores += model.bias[:, None]
         hopeful = np.flatnonzero(most_gained(scores, moves, starts) >= 0)
         if len(hopeful):
