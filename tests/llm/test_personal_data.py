@@ -53,6 +53,39 @@ def test_patterns_equal_plain_regular_expressions():
     assert found > 4000
 
 
+def test_numbers_are_searched_where_digits_lie(monkeypatch):
+    """Letters far from digits are not read by the patterns of numbers; what they find is the same."""
+    read = []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def finditer(self, text, start=0, end=None):
+            read.append((len(text) if end is None else end) - start)
+            return self.pattern.finditer(text, start, len(text) if end is None else end)
+
+    text = "a word, \u00b2\u0661\U0001f600 " * 1000 + "from 10.0.0.1 in 2024 by 4111 1111 1111 1111 or 1.2 345-6, " + "no more. " * 1000
+    want = pii.plain_spans(text)
+    monkeypatch.setattr(pii, "IP", Watched(pii.IP))
+    monkeypatch.setattr(pii, "CARD", Watched(pii.CARD))
+    assert pii.plain_spans(text) == want and {text[s:e] for _, s, e in want} == {"10.0.0.1", "4111 1111 1111 1111"}
+    assert 0 < sum(read) < 100
+
+
+def test_paths_of_several_blocks_are_searched_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    windows = rng.integers(0, pii.CLASSES, (700, pii.WINDOW)).astype(np.uint8)
+    model, kept, calls = pii.fresh(4, 5), pii.best_paths, []
+    model.out *= 2
+    model.bias[0] = 0.9
+    want = pii.decoded(windows, model)
+    monkeypatch.setattr(pii, "best_paths", lambda scores, *rest: calls.append(scores.shape[2]) or kept(scores, *rest))
+    monkeypatch.setattr(pii, "BLOCK", 20)
+    assert (pii.decoded(windows, model) == want).all()
+    assert min(calls[:-1], default=pii.HOPEFUL) >= pii.HOPEFUL and len(calls) <= 3
+
+
 def test_long_runs_take_time_in_proportion():
     for text in ("x" * 2_000_000, "1" * 2_000_000, "1." * 500_000, "+1" * 500_000, "a@" * 500_000, "1 " * 500_000):
         pii.plain_spans(text)

@@ -29,6 +29,8 @@ WINDOW, MARGIN = 256, 16
 STRIDE = WINDOW - 2 * MARGIN
 # Windows that are decoded together.
 BLOCK = 512
+# Windows that wait for the search of the best path, at the least, before it is made.
+HOPEFUL = 256
 UNITS = 12
 # Letters of a training window.
 LEARNT = 64
@@ -55,12 +57,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
+def digit_stretches(text: str) -> list[tuple[int, int, int]]:
+    """``start, end, digits`` of the parts in which digits lie next to each other or one
+    letter apart: no network address or card number goes on from one to another."""
+    # One byte for each code point; what Latin-1 lacks is no digit.
+    codes = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    digits = np.flatnonzero((codes >= 0x30) & (codes <= 0x39))
+    if not len(digits):
+        return []
+    cuts = np.flatnonzero(np.diff(digits) > 2)
+    firsts, lasts = np.append(0, cuts + 1), np.append(cuts, len(digits) - 1)
+    return list(zip(digits[firsts].tolist(), (digits[lasts] + 1).tolist(), (lasts - firsts + 1).tolist()))
+
+
 def shapes(text: str) -> list[tuple[str, int, int]]:
-    """All matches of the patterns, before the tests of their kinds."""
+    """The matches of the patterns, before the tests of their kinds, but for numbers that
+    have too few digits for a network address or a card."""
     found = [("email", *span) for span in emails(text)]
-    for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
-        found += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return found
+    stretches = [s for s in digit_stretches(text) if s[2] >= 4]
+    for kind, pattern, least in (("ip", IP, 4), ("card", CARD, 12)):
+        found += [(kind, *m.span()) for start, end, digits in stretches if digits >= least for m in pattern.finditer(text, start, end)]
+    return found + [("phone", *m.span()) for m in PHONE.finditer(text)]
 
 
 def shaped(kind: str, text: str) -> bool:
@@ -295,9 +312,10 @@ def window_states(
 
     Numpy's exponential takes a fraction of the time of its hyperbolic tangent, so that a gate
     is a division by 1 + exp(-x) and half of tanh(x) is 1 / (1 + exp(-2x)) - 1/2; the factors
-    of x are in the weights, and states and memory are kept halved. An exponential too large
-    for a float is infinite, which gives the right limit. A letter's weights of a gate are
-    neighbours in the table, so that they are copied together.
+    of x are in the weights, states are kept halved, and memory times -2, which is what the
+    exponential takes. An exponential too large for a float is infinite, which gives the right
+    limit. A letter's weights of a gate are neighbours in the table, so that they are copied
+    together.
     """
     units = len(hidden)
     factors = np.repeat(np.array([-1, -1, -1, -2], np.float32), units)
@@ -310,26 +328,28 @@ def window_states(
     z, pull = np.empty((4, n, units), np.float32), np.empty((4, n, units), np.float32)
     h, c, wide = (np.zeros((n, units), np.float32) for _ in range(3))
     enters, forgets, leaves, new = z
+    row = np.empty(n, np.intp)
+    one, two, half, minus_four = (np.float32(x) for x in (1, 2, 0.5, -4))
     tags = np.ascontiguousarray(2 * (np.eye(units) if out is None else out.T), np.float32)
     found = np.empty((steps, len(tags), n), np.float32) if onto is None else onto
     added = np.empty((len(tags), n), np.float32)
     with np.errstate(over="ignore"):
         for t in range(steps):
-            np.take(table, letters[t], axis=1, out=z, mode="clip")
+            row[:] = letters[t]
+            table.take(row, axis=1, out=z, mode="clip")
             np.matmul(h, weights, out=pull)
             z += pull
             np.exp(z, out=z)
-            z += 1
-            np.reciprocal(new, out=new)
-            new -= 0.5
+            z += one
+            np.divide(minus_four, new, out=new)
+            new += two
             new /= enters
             c /= forgets
             c += new
-            np.multiply(c, -4, out=wide)
-            np.exp(wide, out=wide)
-            wide += 1
+            np.exp(c, out=wide)
+            wide += one
             np.reciprocal(wide, out=wide)
-            wide -= 0.5
+            wide -= half
             np.divide(wide, leaves, out=h)
             if onto is None:
                 np.dot(tags, h.T, out=found[t])
@@ -348,6 +368,15 @@ def decoded(windows: np.ndarray, model: Model) -> np.ndarray:
     never, no_start = allowed()
     moves, starts = model.moves + never, model.starts + no_start
     tags = np.zeros(windows.shape, np.uint8)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def search() -> None:
+        """The best paths of all windows that wait for them, in one go."""
+        if waiting:
+            places, scores = zip(*waiting)
+            tags[np.concatenate(places)] = best_paths(np.concatenate(scores, axis=2), moves, starts).T
+            waiting.clear()
+
     for at in range(0, len(windows), BLOCK):
         letters = np.ascontiguousarray(windows[at : at + BLOCK].T)
         scores = window_states(letters, model.inputs[0], model.hidden[0], model.out[:units])
@@ -355,7 +384,10 @@ def decoded(windows: np.ndarray, model: Model) -> np.ndarray:
         scores += model.bias[:, None]
         hopeful = np.flatnonzero(most_gained(scores, moves, starts) >= 0)
         if len(hopeful):
-            tags[at + hopeful] = best_paths(scores[:, :, hopeful], moves, starts).T
+            waiting.append((at + hopeful, scores[:, :, hopeful]))
+            if sum(len(places) for places, _ in waiting) >= HOPEFUL:
+                search()
+    search()
     return tags
 
 
@@ -368,8 +400,10 @@ def most_gained(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> np
     firsts = np.arange(1, TAGS, 2)
     into = float(max((moves[0, firsts] - moves[0, 0]).max(), (starts[firsts] - starts[0]).max()))
     within, out_of = float((moves[1:, 1:] - moves[0, 0]).max()), max(0.0, float((moves[1:, 0] - moves[0, 0]).max()))
-    over = scores[:, 1:].max(axis=1) - scores[:, 0]
-    begun = scores[:, firsts].max(axis=1) - scores[:, 0] + into
+    over, begun = scores[:, 1:].max(axis=1), scores[:, 1::2].max(axis=1)
+    over -= scores[:, 0]
+    begun -= scores[:, 0]
+    begun += np.float32(into)
     run = most = begun[0]
     for t in range(1, len(scores)):
         run = np.maximum(run + over[t] + within, begun[t])
