@@ -4,7 +4,7 @@ import random
 import pytest
 
 from cases import letter_words, messy, messy_rows, prose
-from tillbook.llm import near_duplicates
+from tillbook.llm import components, near_duplicates
 from tillbook.llm.common import ready
 
 
@@ -85,3 +85,30 @@ def test_recall_of_pairs_at_the_border(spark):
     want = sum(s >= 0.8 for s in sims)
     found = near_duplicates.report(spark.createDataFrame(docs, "doc_id bigint, text string"))
     assert want > 100 and found.filter("n_links > 0").count() == 2 * want
+
+
+def test_components_store_few_files_and_stop_at_stars(spark, monkeypatch):
+    """Edges that form stars are stored once and looked through once; however many partitions
+    a shuffle has, a round stores few rows in one file."""
+    kept, stored = components.staged, []
+
+    def watched(df, label):
+        out = kept(df, label)
+        stored.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "staged", watched)
+    rng = random.Random(6)
+    stars = [(k, k % 10) for k in range(10, 300)]
+    chain = [(k, k + 1) for k in range(300, 340)]
+    rng.shuffle(chain)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for edges, want in ((stars, {k: k % 10 for k in range(300)}), (chain + stars, {k: k % 10 if k < 300 else 300 for k in range(341)}), ([], {})):
+            stored.clear()
+            found = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+            assert sorted(tuple(r) for r in found) == sorted(want.items())
+            assert max([0, *stored[1:]]) <= 1 and (len(stored) == 2 or edges not in (stars, []))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
