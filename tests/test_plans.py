@@ -151,3 +151,18 @@ def test_shuffles_start_with_enough_partitions(spark, set_by_cluster, started):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_upsert_starts_with_as_many_partitions(spark):
+    """The upsert's tasks grow no faster than those of the report it stores: every keyed shuffle starts with 200 partitions."""
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = {key: spark.conf.get(key, None) for key in ("spark.sql.shuffle.partitions", initial)}
+    spark.conf.unset(initial)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        plan = planned(UPKEEP["upsert_recommendation"](Testbed(tune(spark), FOLDER)))
+        dealt = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)
+        assert len(dealt) > 3 and {int(n) for n in dealt} == {200}
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
