@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tillbook.llm import chat, decontamination, html_text, language, mixing, near_duplicates, personal_data
-from tillbook.llm import phrases, quality, repeats, secrets, spelling, token_counts
+from tillbook.llm import passages, phrases, quality, secrets, spelling, token_counts
 from tillbook.llm.common import table
 from tillbook.llm.oracles import ORACLES as ORACLES
 
@@ -34,7 +34,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.report(table(spark, sf_dir, "documents"))
+    return passages.report(table(spark, sf_dir, "documents"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
